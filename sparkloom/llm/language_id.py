@@ -123,13 +123,12 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
     language. Repeated rows and all other columns pass through.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    chosen = docs.select(*kept, F.col(text).alias("_text"))
-    schema = chosen.select(*kept, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    chosen = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
+    schema = chosen.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(x.as_py()) for x in batch.column(len(kept))]
-            columns = [*batch.columns[: len(kept)], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "lang_pred", "score"])
+            found = [profiles.predict(x.as_py()) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
 
-    return chosen.mapInArrow(judge, schema)
+    return chosen.mapInArrow(judge, schema).select("row.*", "lang_pred", "score")

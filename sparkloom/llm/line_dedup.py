@@ -82,8 +82,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     hash. No rows give no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    row = [F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_name")]
-    lines = docs.where(F.col(text).isNotNull()).select(*row, F.posexplode(F.split(text, "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
+    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_name"), F.col(text).alias("_text"))
+    texts = rows.where("_text is not null").select("_doc", "_name", "_text")
+    lines = texts.select("_doc", "_name", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
     identity = F.sha2("_line", 256)
     seen = scratch.put(lines.select("_doc", "_name", "_at", identity.alias("_sha"), simhash(F.col("_line")).alias("_bits")), "lines")
     place = F.struct("_doc", "_name", "_at")
@@ -100,7 +101,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     scratch.free()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("_cid")).distinct().join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
     wanted = asked.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
-    holders = docs.where(F.col(text).isNotNull()).select(*row, F.col(text).alias("_text")).join(wanted.hint("shuffle_hash"), ["_doc", "_name"])
+    holders = texts.join(wanted.hint("shuffle_hash"), ["_doc", "_name"])
     split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
     found = split.select(F.col("_w._cid").alias("_cid"), normalised(F.expr("_lines[_w._at]")).alias("_line")).groupBy("_cid").agg(F.max("_line").alias("_line"))
     found = scratch.put(found, "candidates")
@@ -120,9 +121,10 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     scratch.free()
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    joined = docs.select(*kept, *row).join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")
-    lines_of, out = F.split(text, "\n"), F.coalesce("_gone", F.array().cast("array<int>"))
+    joined = rows.select("_row", "_text", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")
+    lines_of, out = F.split("_text", "\n"), F.coalesce("_gone", F.array().cast("array<int>"))
     member = F.map_from_arrays(out, F.transform(out, lambda _: F.lit(True)))
     rest = F.array_join(F.filter(lines_of, lambda _, i: ~F.map_contains_key(member, i)), "\n")
-    new_text = F.when(F.size(out) > 0, rest).otherwise(F.col(text))
-    return joined.select(*[new_text.alias(c) if c == text else F.col(c) for c in kept], F.when(F.col(text).isNull(), 0).otherwise(F.size(lines_of)).cast("long").alias("n_lines"), F.size(out).cast("long").alias("n_removed"), out.alias("removed"))
+    new_text = F.when(F.size(out) > 0, rest).otherwise(F.col("_text"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines_of)).cast("long")
+    return joined.select(*[new_text.alias(c) if c == text else F.col("_row")[c].alias(c) for c in kept], n_lines.alias("n_lines"), F.size(out).cast("long").alias("n_removed"), out.alias("removed"))

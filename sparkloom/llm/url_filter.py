@@ -58,10 +58,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     )
     # at most (labels of a host) x (length of a path) shapes, however many rules there are
     shapes = [(r["_labels"], r["_length"]) for r in known.select("_labels", "_length").distinct().collect()]
-    judged = pages.withColumn("host", host_of(F.col(url))).withColumn("path", path_of(F.col(url)))
-    kept = [c for c in judged.columns if c not in ("rule", "verdict")]
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    judged = pages.select(F.struct(*kept).alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    columns = [F.col("_row")[c].alias(c) for c in kept]
     if not shapes:
-        return judged.select(*kept, F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+        return judged.select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     labels = F.size(F.split("host", r"\."))
     expressions = F.array_compact(F.array(*[
         F.when((labels >= n) & (F.length("path") >= m) & (F.col("host") != ""), F.concat(F.substring_index("host", ".", -n), F.substring("path", 1, m)))
@@ -77,6 +78,6 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .select(F.col("host").alias("_h"), F.col("path").alias("_p"), "_best")
     )
     return (
-        judged.select(*kept).join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
-        .select(*kept, F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
+        judged.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+        .select(*columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
     )
