@@ -1,15 +1,15 @@
 """Self-join of documents on the Jaccard similarity of their word n-gram sets.
 
 1. Equal sets become one class; classes are joined, copies never are.
-2. Prefix filter under a hash order: two sets of similarity t share one of
-   their first |x| - ceil(t |x|) + 1 n-grams in any global order. Classes that
-   share none with another class leave here; that is most of them.
-3. The rest are ordered by document frequency, rarest first, and classes that
-   share an n-gram of this second, far more selective prefix form candidate
-   groups (connected components).
-4. Vertical partitioning: a group's n-grams, in their global order, are cut
-   into fragments. Each fragment's partial overlaps are counted separately
-   and summed per pair. Large groups are cut into blocks of classes, and a
+2. The global n-gram order (by hash) is cut into fragments, more of them than
+   n-grams in which two similar sets of such sizes can differ. So similar sets
+   agree on a whole fragment. Classes that agree with none leave here; that is
+   most of them.
+3. Of the rest, n-grams are ordered by document frequency, rarest first. Two
+   sets of similarity t share one of their first |x| - ceil(t |x|) + 1 n-grams;
+   classes that do form candidate groups (connected components).
+4. A group's n-grams, in their global order, are cut into fragments again.
+   Each fragment's partial overlaps are counted separately and summed per pair. Large groups are cut into blocks of classes, and a
    task holds two blocks.
 
 Every pair of a group is tested, none is emitted: a task returns each class's
@@ -91,12 +91,57 @@ def _describe(docs: DataFrame, key: str, text: str, width: int, lower: bool) ->
     return chosen.mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, text: str, width: int, lower: bool, num: int, den: int) -> DataFrame:
-    """(gram, h1, known): a class's first n-grams in hash order.
+def size_classes(most: int, num: int, den: int) -> np.ndarray:
+    """The largest size of each class, up to ``most`` and two beyond: similar sets are in one class or in neighbours."""
+    out = [1]
+    while out[-1] < most or len(out) < 3 or out[-3] < most:
+        out.append(max(out[-1] + 1, (out[-1] + 1) * den // num))
+    return np.array(out, np.int64)
+
+
+def signatures(values: np.ndarray, first: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, row) of the fragments of each set, under its own size class and the next larger one.
+
+    Similar sets meet in the larger class of the two. If it allows d
+    differences, it has d + 1 + e fragments, so 1 + e at least are equal. A set
+    with e empty fragments or fewer thus has an equal one that isn't empty, and
+    sends no empty ones; others send those, too.
+    """
+    size = np.diff(first)
+    some = np.flatnonzero(size)
+    bounds = size_classes(int(size.max(initial=1)), num, den)
+    own = np.searchsorted(bounds, size)
+    total = np.concatenate([[K.U(0)], np.cumsum(K.mix(values ^ K.U(0x5851F42D4C957F2D)), dtype=K.U)])
+    row = np.repeat(np.arange(len(size)), size)
+    out, rows = [], []
+    for step in (0, 1):
+        top = bounds[own + step]
+        d = 2 * top * (den - num) // (den + num)
+        spare = 1 + d // 8
+        count = d + 1 + spare
+        part = ((values >> K.U(32)) * count[row].astype(K.U) >> K.U(32)).astype(np.int64)
+        new = np.ones(len(values), bool)
+        new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(values))
+        label = ((own + step).astype(K.U) << K.U(40))[row[begin]] + part[begin].astype(K.U)
+        out.append(K.mix(total[end] - total[begin] + K.mix(label)))
+        rows.append(row[begin])
+        full = np.bincount(row[begin], minlength=len(size))
+        for i in some[count[some] - full[some] > spare[some]]:
+            lo, hi = np.searchsorted(row[begin], [i, i + 1])
+            empty = np.setdiff1d(np.arange(count[i]), part[begin[lo:hi]])
+            out.append(K.mix(K.mix((K.U(own[i] + step) << K.U(40)) + empty.astype(K.U))))
+            rows.append(np.full(len(empty), i))
+    return np.concatenate(out), np.concatenate(rows)
+
+
+def _signed_fragments(docs: DataFrame, text: str, width: int, lower: bool, num: int, den: int) -> DataFrame:
+    """(signature, h1, known): a class's fragments.
 
     Of the classes that share one within a chunk a single row is sent on to
     meet other chunks; all of them are sent with ``known`` as having company.
-    So a very common n-gram costs a row per chunk, not one per document.
+    So a very common fragment costs a row per chunk, not one per document.
     """
     chosen = docs.select(F.col(text).alias("text"))
 
@@ -104,16 +149,13 @@ def _prefixes(docs: DataFrame, text: str, width: int, lower: bool, num: int, den
         for batch in batches:
             data, off = K.utf8(batch.column(0))
             for _, _, part, at in K.chunks(data, off, 4 * K.CHUNK):
-                grams, names = [], []
+                marks, names = [], []
                 for _, _, piece, cut in K.chunks(part, at):
                     values, first = gram_sets(piece, cut, width, lower)
-                    size = np.diff(first)
-                    h1, _ = set_hashes(values, first)
-                    rank = np.arange(len(values)) - np.repeat(first[:-1], size)
-                    take = rank < np.repeat(prefix_length(size, num, den), size)
-                    grams.append(values[take])
-                    names.append(np.repeat(h1, size)[take])
-                g, h = np.concatenate(grams), np.concatenate(names)
+                    mark, row = signatures(values, first, num, den)
+                    marks.append(mark)
+                    names.append(set_hashes(values, first)[0][row])
+                g, h = np.concatenate(marks), np.concatenate(names)
                 order = np.lexsort((h, g))
                 g, h = g[order], h[order]
                 new = np.ones(len(g), bool)
@@ -122,16 +164,16 @@ def _prefixes(docs: DataFrame, text: str, width: int, lower: bool, num: int, den
                 lead = np.ones(len(g), bool)
                 lead[1:] = g[1:] != g[:-1]
                 begin = np.flatnonzero(lead)
-                alone = np.diff(np.append(begin, len(g))) == 1
-                company = np.unique(h[~np.repeat(alone, np.diff(np.append(begin, len(g))))])
+                many = np.diff(np.append(begin, len(g)))
+                company = np.unique(h[np.repeat(many > 1, many)])
                 out_g, out_h = np.concatenate([K.signed(g[begin]), company]), np.concatenate([h[begin], company])
-                yield pa.RecordBatch.from_arrays([pa.array(out_g), pa.array(out_h), pa.array(np.arange(len(out_g)) >= len(begin))], ["gram", "h1", "known"])
+                yield pa.RecordBatch.from_arrays([pa.array(out_g), pa.array(out_h), pa.array(np.arange(len(out_g)) >= len(begin))], ["signature", "h1", "known"])
 
-    return chosen.mapInArrow(run, "gram long, h1 long, known boolean")
+    return chosen.mapInArrow(run, "signature long, h1 long, known boolean")
 
 
-def _company(prefixes: DataFrame) -> DataFrame:
-    """h1 of every class that shares a prefix n-gram with another class; streams over sorted partitions."""
+def _company(fragments: DataFrame) -> DataFrame:
+    """h1 of every class that agrees with another class on a fragment; streams over sorted partitions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, int] | None = None
@@ -147,7 +189,7 @@ def _company(prefixes: DataFrame) -> DataFrame:
                 last = (g[-1], h[-1])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], ["h1"])
 
-    return prefixes.repartition("gram").sortWithinPartitions("gram", "h1").mapInArrow(run, "h1 long").distinct()
+    return fragments.repartition("signature").sortWithinPartitions("signature", "h1").mapInArrow(run, "h1 long").distinct()
 
 
 def _grams(texts: DataFrame, width: int, lower: bool) -> DataFrame:
@@ -250,7 +292,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     sets = scratch.put(_describe(docs, key, text, width, lower), "sets")
     classes = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("members"))
     classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    company = scratch.put(_company(_prefixes(docs, text, width, lower, num, den)), "company")
+    company = scratch.put(_company(_signed_fragments(docs, text, width, lower, num, den)), "company")
     scratch.free()
     near = classes.join(company, "h1")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
