@@ -101,9 +101,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     edited is the SHA-256 of the text whose last quarter is replaced by the
     start of the next document's, in ascending order of key (nulls last, ties
     by the text's hash; after the last comes the first, which for a single row
-    is itself). Texts count as empty if null. A text without terms, also an
-    empty one, is fingerprinted by its own hash: such fingerprints are alike
-    (1) if equal, else not (0). Equal texts have equal fingerprints. Repeated
+    is itself). Texts count as empty if null. A text without lexicon terms
+    that has more than SHORT terms, or none, as an empty one, is fingerprinted
+    by its own hash: such fingerprints are alike (1) if equal, else not (0). Equal texts have equal fingerprints. Repeated
     rows stay. No rows give no rows; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "imatch")

@@ -61,7 +61,7 @@ def test_simhash_by_hand(spark):
 
 def test_fingerprints(make):
     rng = random.Random(3)
-    vocabulary = [f"term{i}" for i in range(300)]
+    vocabulary = [f"term{i}" for i in range(3000)]
     rows = [(i * 7, " ".join(rng.choices(vocabulary, k=rng.choice([40, 150, 400])))) for i in range(60)]
     rows += [(500, rows[5][1]), (501, None), (502, ""), (503, "?!"), (504, "été" * 3), (505, "one two"), (505, "one two")]
     got = imatch.fingerprints(make(rows)).collect()
