@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-CHUNK = 2 << 20
+#: Bytes of text that are worked on at once; the arrays take some 100 times as much.
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)

@@ -93,7 +93,7 @@ def _shared(anchors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(anchor)], ["doc", "anchor"])
 
     spread = F.when(F.col("known"), F.xxhash64("doc", "anchor")).otherwise(F.col("anchor"))
-    return anchors.withColumn("spread", spread).repartition("spread").sortWithinPartitions("anchor", "doc").select("anchor", "doc", "known").mapInArrow(run, "doc long, anchor long")
+    return anchors.repartition(spread).sortWithinPartitions("anchor", "doc").mapInArrow(run, "doc long, anchor long")
 
 
 def units(docs: DataFrame) -> DataFrame:
@@ -108,20 +108,20 @@ def suspects(docs: DataFrame, unit: DataFrame, symbols: Symbols, size: int, k: i
     docs: (doc long, text), no null. hot: those of the anchors that more than ``hot_texts`` texts have.
     """
     named = docs.select(F.xxhash64("text").alias("name"), "text")
-    shared = scratch.put(_shared(_anchors(named, symbols, size, k)).distinct(), "anchors")
+    shared = scratch.put(_shared(_anchors(named, symbols, size, k)), "anchors")  # a row may come twice
     scratch.free()
-    hot = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot_texts).select("anchor", F.lit(True).alias("hot"))
-    flagged = shared.join(hot, "anchor", "left").select(F.col("doc").alias("name"), F.struct(F.col("hot").isNull().alias("cool"), "anchor").alias("item"))
-    lists = flagged.groupBy("name").agg(F.collect_list("item").alias("items"))
+    hot = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot_texts).select("anchor", F.col("anchor").alias("hot"))
+    hot = scratch.put(hot, "hot")
+    scratch.free()
+    lists = shared.join(hot, "anchor", "left").groupBy(F.col("doc").alias("name")).agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = batch.column(1)
-            flat = items.flatten()
-            cool, anchor = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-            first = np.concatenate([[0], np.cumsum(items.value_lengths().to_numpy(zero_copy_only=False))])
-            hot_first = np.concatenate([[0], np.cumsum(~cool)])[first]
-            yield pa.RecordBatch.from_arrays([batch.column(0), K.packed(anchor, first), K.packed(anchor[~cool], hot_first)], ["name", "anchors", "hot"])
+            out = [batch.column(0)]
+            for lists in batch.columns[1:]:
+                first = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+                out.append(K.packed(lists.flatten().to_numpy(), first))
+            yield pa.RecordBatch.from_arrays(out, ["name", "anchors", "hot"])
 
     packed = lists.mapInArrow(run, "name long, anchors binary, hot binary").join(unit.select("unit", "name"), "name")
     texts = docs.select("doc", F.xxhash64("text").alias("name"), "text")

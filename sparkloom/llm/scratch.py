@@ -9,10 +9,13 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Seconds that Spark's cleaner is given.
+PAUSE_S = 1.0
 _LIVE: dict[str, SparkSession] = {}
 
 
@@ -54,9 +57,10 @@ class Scratch:
             _delete(self.spark, f"{self.base}/{tag}")
 
     def free(self) -> None:
-        """Lets Spark remove shuffle files of jobs whose results are written already."""
+        """Lets Spark remove shuffle files of jobs whose results are written already; it does so a moment later."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(PAUSE_S)
 
 
 @atexit.register
