@@ -5,9 +5,10 @@ a document with a smaller key. ``repeats`` leaves the suffixes whose anchor
 other texts have too. Every suffix belongs to the subtree of its prefix, which
 reaches through its anchor gram, so prefixes are of variable length and chosen
 by content; where very many texts have an anchor, the prefix is the whole
-window. Subtrees are dealt out to tasks, where sorted suffixes make up their
-paths: a run of equal paths is an internal node ``size`` words deep, and its
-leaves in later documents are repeats.
+window. Subtrees are dealt out to tasks, those whose prefixes end in the same
+gram together, so that neighbouring suffixes stay together. There sorted
+suffixes make up their paths: a run of equal paths is an internal node
+``size`` words deep, and its leaves in later documents are repeats.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ HOT_TEXTS = 20_000
 #: Leaves whose repeats a task gathers before it sends them on.
 GATHERED = 1_000_000
 
-_LEAVES = "prefix long, path long, doc long, name long, at long, stop long"
+_LEAVES = "key long, prefix long, path long, doc long, name long, at long, stop long"
 
 
 def _anchor_ends(w: R.Windows, k: int) -> np.ndarray:
@@ -45,7 +46,7 @@ def _anchor_ends(w: R.Windows, k: int) -> np.ndarray:
 
 
 def _leaves(texts: DataFrame, size: int, k: int) -> DataFrame:
-    """Leaves (prefix, path, doc, name, at), and, with ``stop``, word runs known to be repeated.
+    """Leaves (key, prefix, path, doc, name, at), and, with ``stop``, word runs known to be repeated.
 
     Of equal paths in a chunk, the first document's leaves are sent on; the others repeat them.
     """
@@ -60,6 +61,7 @@ def _leaves(texts: DataFrame, size: int, k: int) -> DataFrame:
                     continue
                 path = K.signed(w.rolling.runs(w.start, w.start + size))
                 prefix = np.where(w.hot, path, K.signed(w.rolling.runs(w.start, _anchor_ends(w, k))))
+                key = np.where(w.hot, path, w.anchor)
                 owner, at = doc[lo + w.row], w.start - w.first[w.row]
                 order = np.lexsort((owner, path, prefix))
                 same = np.zeros(len(order), bool)
@@ -68,16 +70,16 @@ def _leaves(texts: DataFrame, size: int, k: int) -> DataFrame:
                 later = np.empty(len(order), bool)
                 later[order] = owner[order] > owner[order][lead]
                 sent, known = np.flatnonzero(~later), np.flatnonzero(later)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (prefix[sent], path[sent], owner[sent], name[lo + w.row[sent]], at[sent])), pa.nulls(len(sent), pa.int64())], _LEAVES.replace(" long", "").split(", "))
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (key[sent], prefix[sent], path[sent], owner[sent], name[lo + w.row[sent]], at[sent])), pa.nulls(len(sent), pa.int64())], _LEAVES.replace(" long", "").split(", "))
                 if len(known):
                     row, start, stop = R.runs_of(w.row[known], at[known], size)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (name[lo + row], name[lo + row], doc[lo + row], name[lo + row], start, stop))], _LEAVES.replace(" long", "").split(", "))
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (name[lo + row], name[lo + row], name[lo + row], doc[lo + row], name[lo + row], start, stop))], _LEAVES.replace(" long", "").split(", "))
 
     return texts.mapInArrow(run, _LEAVES)
 
 
 def _repeated(leaves: DataFrame, size: int) -> DataFrame:
-    """(doc, name, start, stop) of repeated words; streams over partitions that are sorted by path."""
+    """(doc, name, start, stop) of repeated words; streams over partitions that are sorted by key and path."""
     names = ["doc", "name", "start", "stop"]
 
     def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
@@ -94,14 +96,14 @@ def _repeated(leaves: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight, node = [], 0, (0, 0, np.iinfo(np.int64).max)
         for batch in batches:
-            known = batch.column(5).is_valid()
+            known = batch.column(6).is_valid()
             if known.true_count:
                 done = batch.filter(known)
-                yield pa.RecordBatch.from_arrays([done.column(i) for i in (2, 3, 4, 5)], names)
-                batch = batch.filter(batch.column(5).is_null())
+                yield pa.RecordBatch.from_arrays([done.column(i) for i in (3, 4, 5, 6)], names)
+                batch = batch.filter(batch.column(6).is_null())
             if not batch.num_rows:
                 continue
-            prefix, path, doc, name, at = (batch.column(i).to_numpy() for i in range(5))
+            prefix, path, doc, name, at = (batch.column(i).to_numpy() for i in range(1, 6))
             new = np.ones(len(path), bool)
             new[1:] = (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])
             lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
@@ -119,7 +121,7 @@ def _repeated(leaves: DataFrame, size: int) -> DataFrame:
         if held:
             yield sent(held)
 
-    return leaves.repartition("prefix").sortWithinPartitions("prefix", "path", "doc").mapInArrow(run, "doc long, name long, start long, stop long")
+    return leaves.repartition("key").sortWithinPartitions("key", "prefix", "path", "doc").mapInArrow(run, "doc long, name long, start long, stop long")
 
 
 def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, hot_texts: int = HOT_TEXTS) -> DataFrame:
