@@ -274,7 +274,8 @@ def _links(blocks: DataFrame, num: int, den: int) -> DataFrame:
                 a.append(cid[rows[v]]), b.append(None), links.append(n[v])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
 
-    return blocks.groupBy("label", "i", "j").applyInArrow(run, "a long, b long, links long")
+    # dealt out by pair of blocks; by group alone, one task would get all pairs of a large group
+    return blocks.repartition("label", "i", "j").groupBy("label", "i", "j").applyInArrow(run, "a long, b long, links long")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5, lower: bool = True) -> DataFrame:
