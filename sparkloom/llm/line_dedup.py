@@ -1,7 +1,7 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
 Lines are normalised and collapsed to distinct ones. Two distinct lines are
-candidates if their 64-bit SimHashes differ in at most ``DISTANCE`` bits: cut
+candidates if their 63-bit SimHashes differ in at most ``DISTANCE`` bits: cut
 into ``BLOCKS`` blocks, they then agree in ``BLOCKS - DISTANCE`` of them, so
 lines meet under each choice of that many blocks. Edit similarity confirms.
 Of every connected group of lines the first occurrence in the corpus stays.
@@ -9,8 +9,7 @@ Of every connected group of lines the first occurrence in the corpus stays.
 Within a bucket, lines stand in SimHash order; each meets the bucket's first
 line and the ``NEIGHBOURS`` behind it. That is every pair of a bucket of up to
 ``NEIGHBOURS`` + 2 lines, and grows with the bucket, not with its square; a
-line is in 20 buckets, each in another order, through which large families
-connect.
+line is in 10 buckets, each of other lines, through which large families connect.
 """
 
 from __future__ import annotations
@@ -23,51 +22,70 @@ from pyspark.sql import functions as F
 from sparkloom.llm.components import components
 from sparkloom.llm.scratch import Scratch
 
-#: Differing bits that are looked for, and blocks that the 64 bits are cut into.
-DISTANCE, BLOCKS = 3, 6
+#: Differing bits that are looked for, and blocks that the 63 bits are cut into.
+DISTANCE, BLOCKS = 3, 5
 NEIGHBOURS = 4
 #: The least edit similarity: 1 - distance / the longer length.
 SIMILARITY = 0.9
 #: Shorter normalised lines are never removed.
 MIN_CHARS = 20
-_LANES = 16
+_LANES = 21
+#: A lane counts so far, with a bit to spare; a line of more words is hashed as one word, so it has no fuzzy matches but exact ones.
+MOST_WORDS = (1 << 20) - 1
 
 
 def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[\s ]+", " "))
 
 
-def simhash(line: Column) -> Column:
-    """64 majority bits over the words' hashes.
+def with_simhash(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
+    """(keys, _bits) of lines that ``keys`` tell apart: 63 majority bits over the words' hashes.
 
-    The 64 counters are 16-bit lanes of 16 longs, so a word costs 16 additions.
-    Beyond 65,535 words lanes run over; the result then still depends on the line alone.
+    The 63 counters are 21-bit lanes of 21 longs, which a hash aggregation sums
+    up, mostly before the shuffle: a line's words are in one task.
     """
-    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
-    ones = F.lit(0x0001000100010001)
-    start = F.struct(*[F.lit(0).cast("long").alias(f"c{i}") for i in range(_LANES)], F.lit(0).cast("long").alias("n"))
-    counted = F.aggregate(hashes, start, lambda s, h: F.struct(*[(s[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(ones)).alias(f"c{i}") for i in range(_LANES)], (s["n"] + 1).alias("n")), lambda s: _majority(s))
-    return counted
-
-
-def _majority(s: Column) -> Column:
+    split = F.split(line, " ")
+    word = F.explode(F.when(F.size(split) <= MOST_WORDS, split).otherwise(F.array(line)))
+    hashed = lines.select(*keys, word.alias("_word")).select(*keys, F.xxhash64("_word").alias("_h"))
+    ones = F.lit(1 | 1 << 21 | 1 << 42)
+    counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(ones)).alias(f"_c{i}") for i in range(_LANES)])
+    # what a lane lacks to its highest bit is added to it, so that bit says whether it counts over half of the words
+    lack = (F.lit(MOST_WORDS) - F.floor(F.col("_n") / 2)) * ones
     bits = F.lit(0).cast("long")
     for i in range(_LANES):
-        for lane in range(4):
-            count = F.shiftrightunsigned(s[f"c{i}"], 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bit = (1 << (i + 16 * lane)) - (1 << 64 if i + 16 * lane == 63 else 0)
-            bits = bits.bitwiseOR(F.when(count * 2 > s["n"], F.lit(bit)).otherwise(F.lit(0).cast("long")))
-    return bits
+        bits = bits + F.shiftleft(F.shiftrightunsigned(F.col(f"_c{i}") + lack, 20).bitwiseAND(ones), i)
+    return counted.select(*keys, bits.alias("_bits"))
+
+
+def _alike(p: str, q: str) -> Column:
+    """How many words two arrays begin with alike."""
+    n = F.least(F.size(p), F.size(q))
+    at = F.array_position(F.zip_with(F.slice(p, F.lit(1), n), F.slice(q, F.lit(1), n), lambda u, v: u == v), False)
+    return F.when(at == 0, n).otherwise(at - 1).cast("int")
+
+
+def middles(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    """Replaces two columns of lines by what is left without the words that they begin and end with alike; the edit distance is the same.
+
+    Each word that is left has a space before it. Columns stand step by step,
+    for an expression that is used twice would be evaluated twice.
+    """
+    others = [c for c in pairs.columns if c not in (x, y)]
+    now = pairs.select(*others, F.split(x, " ").alias("_a"), F.split(y, " ").alias("_b"))
+    now = now.withColumn("_n", _alike("_a", "_b"))
+    now = now.select(*others, *[F.reverse(F.slice(c, F.col("_n") + 1, F.size(c) - F.col("_n"))).alias(c) for c in ("_a", "_b")])
+    now = now.withColumn("_n", _alike("_a", "_b"))
+    left = [F.reverse(F.slice(c, F.col("_n") + 1, F.size(c) - F.col("_n"))) for c in ("_a", "_b")]
+    return now.select(*others, *[F.concat_ws("", F.transform(c, lambda w: F.concat(F.lit(" "), w))).alias(n) for c, n in zip(left, (x, y), strict=True)])
 
 
 def block_keys(bits: Column) -> Column:
     """An array with a key for each choice of BLOCKS - DISTANCE blocks."""
-    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    edges = [63 * i // BLOCKS for i in range(BLOCKS + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
     keys = []
     for i, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE)):
-        mask = sum(chosen)
-        keys.append(F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask))))
+        keys.append(F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(sum(chosen)))))
     return F.array(*keys)
 
 
@@ -85,8 +103,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_name"), F.col(text).alias("_text"))
     texts = rows.where("_text is not null").select("_doc", "_name", "_text")
     lines = texts.select("_doc", "_name", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
-    identity = F.sha2("_line", 256)
-    seen = scratch.put(lines.select("_doc", "_name", "_at", identity.alias("_sha"), simhash(F.col("_line")).alias("_bits")), "lines")
+    identity = F.unhex(F.substring(F.sha2("_line", 256), 1, 32))
+    seen = scratch.put(with_simhash(lines.withColumn("_sha", identity), ["_doc", "_name", "_at", "_sha"], "_line"), "lines")
+    scratch.free()
     place = F.struct("_doc", "_name", "_at")
     distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_bits").alias("_bits"))
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
@@ -108,7 +127,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     scratch.free()
     sides = pairs.join(found.select(F.col("_cid").alias("a"), F.col("_line").alias("_x")), "a").join(found.select(F.col("_cid").alias("b"), F.col("_line").alias("_y")), "b")
     most = F.floor(F.greatest(F.length("_x"), F.length("_y")) * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)).cast("int")
-    links = sides.withColumn("_most", most).where("levenshtein(_x, _y, _most) >= 0").select("a", "b")
+    # written, as a filter on what is left would be pushed below the steps that make it
+    left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
+    links = left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b")
     groups = components(links, scratch, "groups")
     groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "members")
 
@@ -117,7 +138,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     keeper = scratch.put(of_line.join(keep, "_group").select("_sha", "_keep"), "keepers")
     gone = seen.join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop("lines", "distinct", "pairs", "candidates", "members", "keepers")
+    scratch.drop("lines", "distinct", "pairs", "candidates", "middles", "members", "keepers")
     scratch.free()
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]

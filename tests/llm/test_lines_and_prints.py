@@ -42,7 +42,8 @@ def test_fuzzy_groups_follow_simhash_and_edits(make, spark):
             lines.append(" ".join(own))
     lines = sorted(set(lines))
     rng.shuffle(lines)
-    bits = [r[0] & (2**64 - 1) for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, x string").select("i", line_dedup.simhash(line_dedup.normalised(__import__("pyspark").sql.functions.col("x"))).alias("b")).orderBy("i").select("b").collect()]
+    frame = spark.createDataFrame(list(enumerate(lines)), "i int, x string")
+    bits = [r["_bits"] for r in line_dedup.with_simhash(frame, ["i"], "x").orderBy("i").collect()]
     links = [(i, j) for i in range(len(lines)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= line_dedup.DISTANCE and brute.edit_distance(lines[i], lines[j]) <= int(max(len(lines[i]), len(lines[j])) * 0.1)]
     assert links
     kept = {min(g) for g in brute.groups(links, len(lines))}
@@ -50,13 +51,34 @@ def test_fuzzy_groups_follow_simhash_and_edits(make, spark):
     assert {r["doc_id"] for r in got if not r["n_removed"]} == kept
 
 
-def test_simhash_by_hand(spark):
+def test_middles_keep_the_edit_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    pairs = []
+    for _ in range(150):
+        a = [rng.choice(["a", "bb", "ccc", "d"]) for _ in range(rng.randrange(1, 9))]
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            b[rng.randrange(len(b))] = rng.choice(["a", "x", "bb"])
+        b = b[rng.randrange(2) :] or ["z"]
+        pairs.append((" ".join(a), " ".join(b)))
+    frame = line_dedup.middles(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string"), "x", "y")
+    for r in frame.select("i", F.levenshtein("x", "y").alias("d")).collect():
+        assert r["d"] == brute.edit_distance(*pairs[r["i"]])
+
+
+def test_simhash_by_hand(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     words = ["alpha", "beta", "gamma"]
     hashes = [spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] & (2**64 - 1) for w in words]
-    want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > 3)
-    assert spark.range(1).select(line_dedup.simhash(F.lit(" ".join(words)))).first()[0] & (2**64 - 1) == want
+    want = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > 3)
+    frame = spark.createDataFrame([(1, " ".join(words)), (2, "alpha " * 69_999 + "alpha")], "i int, x string")
+    got = {r["i"]: r["_bits"] for r in line_dedup.with_simhash(frame, ["i"], "x").collect()}
+    assert got == {1: want, 2: hashes[0] & (2**63 - 1)}
+    monkeypatch.setattr(line_dedup, "MOST_WORDS", 2)
+    assert line_dedup.with_simhash(frame, ["i"], "x").count() == 2
 
 
 def test_fingerprints(make):
