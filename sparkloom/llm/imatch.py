@@ -2,8 +2,9 @@
 
 Terms whose share of the documents lies within a band, that is whose inverse
 document frequency does, make up the lexicon. A fingerprint hashes a
-document's distinct lexicon terms, sorted, once for each of several randomised
-subsets of the lexicon. Subsets come in levels, each half as dense as the one
+document's distinct lexicon terms, once for each of several randomised subsets
+of the lexicon, by a hash that is the same in any order of the terms, so that
+they need no sorting. Subsets come in levels, each half as dense as the one
 before, so that long and short documents both have subsets in which they keep
 a few terms only; an edit changes the hashes of the subsets that it touches.
 
@@ -21,8 +22,9 @@ from sparkloom.llm.scratch import Scratch
 
 #: The band: shares of the documents that have a term. log2(1 / share) is its inverse document frequency.
 LOW, HIGH = 0.0005, 0.2
-#: Levels of density 1/2, 1/4, ..., and subsets in each.
-LEVELS, SUBSETS = 10, 12
+#: Levels of density 1/2, 1/4, ..., and subsets in each. Over 100 columns in all, Spark compiles the
+#: aggregation as many small methods; in one large method it would not be compiled at run time.
+LEVELS, SUBSETS = 9, 12
 #: Lexicon terms that are broadcast at most; a larger lexicon is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: Neighbouring documents that are handled together (on average).
@@ -45,31 +47,42 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return found.where((F.col("df") >= max(2.0, low * rows)) & (F.col("df") <= high * rows)).select("term")
 
 
-def subset_hashes(found: Column) -> Column:
-    """For sorted distinct terms, an array of LEVELS x SUBSETS hashes (4 hexadecimal digits, level by level); dots where a subset holds none of them."""
+def subset_hashes(rows: DataFrame, keys: list[str], others: list[Column]) -> DataFrame:
+    """(keys, print, others): LEVELS x SUBSETS hashes of each group's distinct terms, 4 hexadecimal digits each, level by level; dots where a subset holds none of them.
 
-    def one(i: Column) -> Column:
-        level, subset = F.floor(i / SUBSETS).cast("int"), i % SUBSETS
-        held = F.filter(found, lambda t: F.pmod(F.xxhash64(t, subset), F.pow(F.lit(2.0), level + 1).cast("long")) == 0)
-        return F.when(F.size(held) == 0, F.lit(_NONE)).otherwise(F.lpad(F.lower(F.hex(F.pmod(F.xxhash64(held), F.lit(65536)))), 4, "0"))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS * SUBSETS - 1)), one)
+    A subset of level l holds the terms whose hash for it ends in l + 1 zero
+    bits, and combines these hashes by exclusive or. All is one hash aggregation over longs.
+    """
+    salted = rows.select("*", *[F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(s))).alias(f"h{s}") for s in range(SUBSETS)])
+    held = [F.bit_xor(F.when(F.col(f"h{s}").bitwiseAND(F.lit((2 << level) - 1)) == 0, F.col(f"h{s}"))).alias(f"x{level}_{s}") for level in range(LEVELS) for s in range(SUBSETS)]
+    found = salted.groupBy(*keys).agg(*held, *others)
+    digits = [F.when(F.col(f"x{level}_{s}").isNull(), F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(f"x{level}_{s}").bitwiseAND(F.lit(65535))), 4, "0"))) for level in range(LEVELS) for s in range(SUBSETS)]
+    return found.select(*keys, F.concat(*digits).alias("print"), *[c for c in found.columns if c not in keys and not c.startswith("x")])
 
 
-def likeness(a: Column, b: Column, same: Column) -> Column:
-    """How alike two arrays of subset hashes are, from 0 to 1; 1 where ``same``.
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column) -> DataFrame:
+    """Adds how alike two columns of subset hashes are, from 0 to 1; 1 where ``same``.
 
     Of the subsets in which either text has terms, the share that agrees: in
     the least dense level in which at least half of the subsets have some, and
     in all levels less dense than it. No such level: in all.
     """
-    pairs = F.zip_with(a, b, lambda x, y: F.struct(((x != _NONE) | (y != _NONE)).alias("some"), ((x != _NONE) & (x == y)).alias("equal")))
-    levels = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda i: F.slice(pairs, i * SUBSETS + 1, F.lit(SUBSETS)))
-    count = lambda level, name: F.size(F.filter(level, lambda p: p[name]))
-    table = F.transform(levels, lambda level: F.struct(count(level, "some").cast("long").alias("some"), count(level, "equal").cast("long").alias("equal")))
-    start = F.struct(F.lit(0).cast("long").alias("some"), F.lit(0).cast("long").alias("equal"))
-    total = F.aggregate(table, start, lambda s, x: F.when(x["some"] * 2 >= SUBSETS, F.struct(x["some"].alias("some"), x["equal"].alias("equal"))).otherwise(F.struct((s["some"] + x["some"]).alias("some"), (s["equal"] + x["equal"]).alias("equal"))))
-    return F.when(same, F.lit(1.0)).otherwise(F.coalesce(F.try_divide(total["equal"].cast("double"), total["some"].cast("double")), F.lit(0.0)))
+    pieces = lambda c, level: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(c, (i + level * SUBSETS) * 4 + 1, F.lit(4)))
+    counts = {}
+    for level in range(LEVELS):
+        pairs = F.zip_with(pieces(F.col(a), level), pieces(F.col(b), level), lambda x, y: F.when((x == _NONE) & (y == _NONE), 0).when(x == y, 101).otherwise(1))
+        # agreeing subsets in hundreds, all that have terms in ones
+        counts[f"_l{level}"] = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
+    rows = rows.withColumns(counts)
+    some, equal = F.lit(0), F.lit(0)
+    for level in range(LEVELS):
+        n = F.col(f"_l{level}")
+        here, agree = n % 100, F.floor(n / 100).cast("int")
+        dense = here * 2 >= SUBSETS
+        some, equal = F.when(dense, here).otherwise(some + here), F.when(dense, agree).otherwise(equal + agree)
+    found = rows.withColumns({"_some": some, "_equal": equal}).drop(*counts)
+    share = F.coalesce(F.try_divide(F.col("_equal").cast("double"), F.col("_some").cast("double")), F.lit(0.0))
+    return found.withColumn(name, F.when(same, F.lit(1.0)).otherwise(share)).drop("_some", "_equal")
 
 
 def in_order(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -103,8 +116,9 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     by the text's hash; after the last comes the first, which for a single row
     is itself). Texts count as empty if null. A text without lexicon terms
     that has more than SHORT terms, or none, as an empty one, is fingerprinted
-    by its own hash: such fingerprints are alike (1) if equal, else not (0). Equal texts have equal fingerprints. Repeated
-    rows stay. No rows give no rows; other columns are not looked at.
+    by its own hash: such fingerprints are alike (1) if equal, else not (0).
+    Equal texts have equal fingerprints. Repeated rows stay. No rows give no
+    rows; other columns are not looked at.
     """
     scratch = Scratch(docs.sparkSession, "imatch")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -118,20 +132,28 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 4) as int))"))
     rows = rows.select("bucket", "ghost", "row", "id", n.cast("long").alias("n_chars"), "text", F.when(F.col("ghost") == 0, edited).alias("edited"))
-    rows = rows.select("bucket", "ghost", "row", "id", "n_chars", F.sha2("edited", 256).alias("sha"), F.sha2("text", 256).alias("own"), terms(F.col("text")).alias("a"), terms(F.coalesce("edited", F.lit(""))).alias("b"))
+    # the digest as four longs: a hash aggregation holds nothing else
+    sha = F.sha2("edited", 256)
+    quarters = [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"sha{i}") for i in range(4)]
+    facts = ["id", "n_chars", *[f"sha{i}" for i in range(4)], "bare0", "bare1"]
+    rows = rows.select("bucket", "ghost", "row", "id", "n_chars", *quarters, F.xxhash64("text").alias("bare0"), F.xxhash64("edited").alias("bare1"), terms(F.col("text")).alias("a"), terms(F.coalesce("edited", F.lit(""))).alias("b"))
     item = lambda w, which, many: F.struct(F.lit(which).alias("which"), F.xxhash64(w).alias("term"), (many <= SHORT).alias("short"))
-    head = F.array(F.struct(F.lit(2).alias("which"), F.lit(0).cast("long").alias("term"), F.lit(True).alias("short")))
+    head = F.array(*[F.struct(F.lit(i).alias("which"), F.lit(None).cast("long").alias("term"), F.lit(True).alias("short")) for i in (0, 1)])
     listed = F.concat(head, F.transform("a", lambda w: item(w, 0, F.size("a"))), F.transform("b", lambda w: item(w, 1, F.size("b"))))
-    spread = rows.select("bucket", "ghost", "row", "id", "n_chars", "sha", "own", F.explode(listed).alias("x")).select("bucket", "ghost", "row", *[F.when(F.col("x.which") == 2, F.col(c)).alias(c) for c in ("id", "n_chars", "sha", "own")], "x.which", "x.term", "x.short")
+    spread = rows.select("bucket", "ghost", "row", *facts, F.explode(listed).alias("x")).select("bucket", "ghost", "row", *facts, "x.which", "x.term", "x.short")
     known = spread.join(words, "term", "left").where("hit or short")
-    sets = known.groupBy("bucket", "ghost", "row").agg(*[F.max(c).alias(c) for c in ("id", "n_chars", "sha", "own")], *[F.sort_array(F.collect_list(F.when(F.col("which") == i, F.col("term")))).alias(c) for i, c in ((0, "a"), (1, "b"))])
-    hashed = sets.select("bucket", "ghost", "row", "id", "n_chars", "sha", *[F.when(F.size(c) > 0, subset_hashes(F.col(c))).otherwise(F.array_repeat(F.lit(_NONE), LEVELS * SUBSETS)).alias(c) for c in ("a", "b")], F.when(F.size("a") == 0, F.col("own")).alias("bare"), F.when(F.size("b") == 0, F.col("sha")).alias("edited_bare"))
-    line = lambda c, bare: F.concat(F.array_join(c, ""), F.coalesce(F.substring(bare, 1, 16), F.lit("")))
-    printed = hashed.withColumn("fingerprint", line("a", "bare")).withColumn("edited_fingerprint", line("b", "edited_bare"))
+    # a null term stands for the text itself; it is in no subset
+    known = known.select("bucket", "ghost", "row", "which", "term", *facts)
+    sets = subset_hashes(known, ["bucket", "ghost", "row", "which"], [F.max(c).alias(c) for c in facts] + [F.count("term").alias("terms")])
+    of = lambda i, c: F.max(F.when(F.col("which") == i, F.col(c)))
+    printed = sets.groupBy("bucket", "ghost", "row").agg(*[F.max(c).alias(c) for c in facts], of(0, "print").alias("a"), of(1, "print").alias("b"), of(0, "terms").alias("n0"), of(1, "terms").alias("n1"))
+    digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    printed = printed.withColumn("sha", F.concat(*[digits(f"sha{i}") for i in range(4)]))
+    line = lambda c, n, bare: F.concat(c, F.when(F.col(n) == 0, digits(bare)).otherwise(F.lit("")))
+    printed = printed.withColumn("fingerprint", line("a", "n0", "bare0")).withColumn("edited_fingerprint", line("b", "n1", "bare1"))
     follow = Window.partitionBy("bucket").orderBy("ghost", "row")
     both = printed.withColumn("next_a", F.lead("a").over(follow)).withColumn("next_print", F.lead("fingerprint").over(follow))
-    return both.where("ghost = 0").select(
-        F.col("id").alias(key), "n_chars", F.col("sha").alias("edited"), "fingerprint", "edited_fingerprint",
-        likeness(F.col("a"), F.col("b"), F.col("fingerprint") == F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("a"), F.col("next_a"), F.col("fingerprint") == F.col("next_print")).alias("near_next"),
-    )
+    own = both.where("ghost = 0").withColumn("next_a", F.coalesce("next_a", F.lit("")))
+    own = with_likeness(own, "near_edited", "a", "b", F.col("fingerprint") == F.col("edited_fingerprint"))
+    own = with_likeness(own, "near_next", "a", "next_a", F.col("fingerprint") == F.col("next_print"))
+    return own.select(F.col("id").alias(key), "n_chars", F.col("sha").alias("edited"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
