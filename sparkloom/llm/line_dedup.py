@@ -6,10 +6,13 @@ into ``BLOCKS`` blocks, they then agree in ``BLOCKS - DISTANCE`` of them, so
 lines meet under each choice of that many blocks. Edit similarity confirms.
 Of every connected group of lines the first occurrence in the corpus stays.
 
-Within a bucket, lines stand in SimHash order; each meets the bucket's first
-line and the ``NEIGHBOURS`` behind it. That is every pair of a bucket of up to
-``NEIGHBOURS`` + 2 lines, and grows with the bucket, not with its square; a
-line is in 10 buckets, each of other lines, through which large families connect.
+In a bucket of up to ``MOST`` lines every pair is compared. Lines of larger
+buckets, as those in which one word prevails, get a head start with their
+neighbours in SimHash order; then all pairs of them that are not connected yet
+meet by pieces: if the longer one of two lines, of which ``edits`` may differ,
+is cut into ``edits`` + 1 pieces, the other one holds one of these unchanged.
+So every pair within ``DISTANCE`` bits and the edit similarity is linked,
+directly or through others.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from sparkloom.llm.scratch import Scratch
 
 #: Differing bits that are looked for, and blocks that the 63 bits are cut into.
 DISTANCE, BLOCKS = 3, 5
-NEIGHBOURS = 4
+#: Lines of a bucket that are compared pair by pair, and neighbours that a line of a larger bucket meets at first.
+MOST, NEIGHBOURS = 32, 4
 #: The least edit similarity: 1 - distance / the longer length.
 SIMILARITY = 0.9
 #: Shorter normalised lines are never removed.
@@ -89,6 +93,30 @@ def block_keys(bits: Column) -> Column:
     return F.array(*keys)
 
 
+def edits(length: Column, similarity: float) -> Column:
+    """The edits that a pair may differ in, given the longer length."""
+    return F.floor(length * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)).cast("int")
+
+
+def pieces(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The columns without _line, and _piece, twice: a line's edits + 1 pieces, and all runs that are as long as the pieces of a line like it that is no shorter.
+
+    Two lines of the similarity share one at least, from the longer's pieces to the other's runs.
+    """
+    size = lambda n: F.greatest(F.lit(1), F.floor(n / (edits(n, similarity) + 1)).cast("int"))
+    # characters as an array, as substring() counts them from the start of the line
+    others = [c for c in lines.columns if c != "_line"]
+    spelt = lines.select(*others, F.length("_line").alias("_n"), F.split("_line", "").alias("_chars"))
+    run = lambda at, n: F.xxhash64(n, F.concat_ws("", F.slice("_chars", at, n)))
+    cut = F.transform(F.sequence(F.lit(0), edits(F.col("_n"), similarity)), lambda i: run(i * F.col("_q") + 1, F.col("_q")))
+    own = spelt.withColumn("_q", size(F.col("_n"))).select(*others, F.explode(F.array_distinct(cut)).alias("_piece"))
+    longest = F.floor(F.col("_n") / F.lit(similarity) + F.lit(1e-6)).cast("int")
+    sizes = F.explode(F.array_distinct(F.transform(F.sequence(F.col("_n"), longest), size))).alias("_q")
+    sized = spelt.select("*", sizes).where("_q <= _n")
+    runs = F.transform(F.sequence(F.lit(1), F.col("_n") - F.col("_q") + 1), lambda i: run(i, F.col("_q")))
+    return own, sized.select(*others, F.explode(F.array_distinct(runs)).alias("_piece"))
+
+
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
     """All rows and columns of ``docs``; ``text`` without removed lines, and n_lines, n_removed and removed (line numbers from 0).
 
@@ -104,33 +132,61 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     texts = rows.where("_text is not null").select("_doc", "_name", "_text")
     lines = texts.select("_doc", "_name", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
     identity = F.unhex(F.substring(F.sha2("_line", 256), 1, 32))
-    seen = scratch.put(with_simhash(lines.withColumn("_sha", identity), ["_doc", "_name", "_at", "_sha"], "_line"), "lines")
+    seen = scratch.put(with_simhash(lines.withColumn("_sha", identity).withColumn("_len", F.length("_line")), ["_doc", "_name", "_at", "_sha", "_len"], "_line"), "lines")
     scratch.free()
     place = F.struct("_doc", "_name", "_at")
-    distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_bits").alias("_bits"))
+    distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_bits").alias("_bits"), F.min("_len").alias("_len"))
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
     scratch.free()
 
-    buckets = distinct.select("_cid", "_bits", F.explode(block_keys(F.col("_bits"))).alias("_key"))
-    order = Window.partitionBy("_key").orderBy("_bits", "_cid")
-    item = F.struct("_bits", "_cid")
-    near = buckets.select(item.alias("_a"), F.array(F.first(item).over(order), *[F.lead(item, i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("_others"))
-    met = near.where("_others[1] is not null or _others[0]._cid <> _a._cid").select("_a", F.explode("_others").alias("_b")).where("_b is not null and _a._cid <> _b._cid").where(F.bit_count(F.col("_a._bits").bitwiseXOR(F.col("_b._bits"))) <= DISTANCE)
-    pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "pairs")
+    def alike(p: Column, q: Column) -> Column:
+        """What tells most pairs apart without their lines."""
+        close = F.abs(p["_len"] - q["_len"]) <= edits(F.greatest(p["_len"], q["_len"]), similarity)
+        return close & (F.bit_count(p["_bits"].bitwiseXOR(q["_bits"])) <= DISTANCE)
+
+    def line_of(asked: DataFrame, tag: str) -> DataFrame:
+        """(_cid, _line) of distinct _cid."""
+        at = asked.join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
+        wanted = at.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
+        holders = texts.join(wanted.hint("shuffle_hash"), ["_doc", "_name"])
+        split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
+        found = split.select(F.col("_w._cid").alias("_cid"), normalised(F.expr("_lines[_w._at]")).alias("_line")).groupBy("_cid").agg(F.max("_line").alias("_line"))
+        found = scratch.put(found, tag)
+        scratch.free()
+        return found
+
+    def linked(pairs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
+        """The pairs that edit similarity confirms."""
+        sides = pairs.join(found.select(F.col("_cid").alias("a"), F.col("_line").alias("_x")), "a").join(found.select(F.col("_cid").alias("b"), F.col("_line").alias("_y")), "b")
+        most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
+        # written, as a filter on what is left would be pushed below the steps that make it
+        left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), tag)
+        return left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b")
+
+    buckets = distinct.select(F.struct("_bits", "_cid", "_len").alias("_a"), F.explode(block_keys(F.col("_bits"))).alias("_key"))
+    bucket = Window.partitionBy("_key")
+    order = bucket.orderBy("_a")
+    near = buckets.select("_a", F.count(F.lit(1)).over(bucket).alias("_n"), F.first("_a").over(order).alias("_head"), F.collect_list("_a").over(order.rowsBetween(1, MOST - 1)).alias("_next")).where("_n > 1")
+    others = F.when(F.col("_n") <= MOST, F.col("_next")).otherwise(F.concat(F.array("_head"), F.slice("_next", 1, NEIGHBOURS)))
+    near = near.select((F.col("_n") > MOST).alias("_large"), "_a", F.filter(others, lambda o: (o["_cid"] != F.col("_a")["_cid"]) & alike(F.col("_a"), o)).alias("_others"))
+    near = scratch.put(near.where("_large or size(_others) > 0"), "near")
     scratch.free()
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("_cid")).distinct().join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
-    wanted = asked.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
-    holders = texts.join(wanted.hint("shuffle_hash"), ["_doc", "_name"])
-    split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
-    found = split.select(F.col("_w._cid").alias("_cid"), normalised(F.expr("_lines[_w._at]")).alias("_line")).groupBy("_cid").agg(F.max("_line").alias("_line"))
-    found = scratch.put(found, "candidates")
+    met = near.select("_a", F.explode("_others").alias("_b"))
+    pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "pairs")
     scratch.free()
-    sides = pairs.join(found.select(F.col("_cid").alias("a"), F.col("_line").alias("_x")), "a").join(found.select(F.col("_cid").alias("b"), F.col("_line").alias("_y")), "b")
-    most = F.floor(F.greatest(F.length("_x"), F.length("_y")) * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)).cast("int")
-    # written, as a filter on what is left would be pushed below the steps that make it
-    left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
-    links = left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b")
+    found = line_of(pairs.select(F.explode(F.array("a", "b")).alias("_cid")).distinct(), "candidates")
+    links = scratch.put(linked(pairs, found, "middles"), "links")
     groups = components(links, scratch, "groups")
+    large = near.where("_large").select("_a.*").distinct()
+    if not large.isEmpty():
+        # pairs of large buckets: those that are not connected yet
+        large = scratch.put(large.join(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid")), "large")
+        found = line_of(large.select("_cid"), "large-lines")
+        own, runs = pieces(found.join(large, "_cid").select("_line", F.struct("_cid", "_bits", "_len", "_group").alias("_a")), similarity)
+        met = own.join(runs.withColumnRenamed("_a", "_b"), "_piece").where((F.col("_a._group") != F.col("_b._group")) & (F.col("_a._len") >= F.col("_b._len")) & alike(F.col("_a"), F.col("_b")))
+        pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "large-pairs")
+        scratch.free()
+        groups = components(links.union(linked(pairs, found, "large-middles")), scratch, "all-groups")
     groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "members")
 
     of_line = distinct.join(groups, "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
@@ -138,7 +194,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     keeper = scratch.put(of_line.join(keep, "_group").select("_sha", "_keep"), "keepers")
     gone = seen.join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop("lines", "distinct", "pairs", "candidates", "middles", "members", "keepers")
+    scratch.drop("lines", "distinct", "near", "pairs", "candidates", "middles", "links", "large", "large-lines", "large-pairs", "large-middles", "members", "keepers")
     scratch.free()
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]

@@ -51,6 +51,50 @@ def test_fuzzy_groups_follow_simhash_and_edits(make, spark):
     assert {r["doc_id"] for r in got if not r["n_removed"]} == kept
 
 
+def test_pairs_of_large_buckets(make, spark):
+    """Lines in which one word prevails share their buckets; near copies among them are found wherever they stand."""
+    rng = random.Random(7)
+    cells = lambda: [f"c{rng.randrange(10**6)}" for _ in range(6)]
+    tables = [cells() for _ in range(200)]
+    for i in range(60):
+        own = list(tables[i])
+        own[rng.randrange(6)] += "s"
+        tables.append(own)
+    lines = sorted({" | | ".join(["|", *t, "|"]) for t in tables})
+    rng.shuffle(lines)
+    bits = [r["_bits"] for r in line_dedup.with_simhash(spark.createDataFrame(list(enumerate(lines)), "i int, x string"), ["i"], "x").collect()]
+    assert len(set(bits)) == 1 and len(lines) > line_dedup.MOST
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) < 7 and len(set(lines[i].split()) ^ set(lines[j].split())) < 6 and brute.edit_distance(lines[i], lines[j]) <= int(max(len(lines[i]), len(lines[j])) * 0.1)]
+    assert len(links) >= 60
+    got = line_dedup.line_dedup(make(list(enumerate(lines)))).collect()
+    assert {r["doc_id"] for r in got if not r["n_removed"]} == {min(g) for g in brute.groups(links, len(lines))}
+
+
+@pytest.mark.parametrize("similarity", [0.9, 0.7])
+def test_pieces_are_lossless(spark, similarity):
+    rng = random.Random(8)
+    rows = []
+    for i in range(0, 400, 2):
+        a = [rng.choice("ab cé") for _ in range(rng.randrange(1, 120))]
+        b = list(a)
+        for _ in range(rng.randrange(1 + len(a) // 6)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
+        rows += [(i, "".join(a)), (i + 1, "".join(b) or "z")]
+    own, runs = line_dedup.pieces(spark.createDataFrame(rows, "_cid long, _line string"), similarity)
+    held = [{i: set() for i, _ in rows} for _ in range(2)]
+    for side, frame in zip(held, (own, runs), strict=True):
+        for r in frame.collect():
+            side[r["_cid"]].add(r["_piece"])
+    alike = 0
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        (i, a), (j, b) = sorted([(i, a), (j, b)], key=lambda x: -len(x[1]))
+        if brute.edit_distance(a, b) <= int(len(a) * round(1 - similarity, 6) + 1e-9):
+            alike += 1
+            assert held[0][i] & held[1][j], (a, b)
+    assert alike > 50
+
+
 def test_middles_keep_the_edit_distance(spark):
     from pyspark.sql import functions as F
 
