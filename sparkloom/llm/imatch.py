@@ -7,6 +7,7 @@ of the lexicon, by a hash that is the same in any order of the terms, so that
 they need no sorting. Subsets come in levels, each half as dense as the one
 before, so that long and short documents both have subsets in which they keep
 a few terms only; an edit changes the hashes of the subsets that it touches.
+There are as many levels as the text with the most distinct terms needs.
 
 The band's lower end bounds the lexicon whatever the corpus: there are at most
 (mean distinct terms of a document) / ``LOW`` terms that frequent, which is
@@ -22,9 +23,9 @@ from sparkloom.llm.scratch import Scratch
 
 #: The band: shares of the documents that have a term. log2(1 / share) is its inverse document frequency.
 LOW, HIGH = 0.0005, 0.2
-#: Levels of density 1/2, 1/4, ..., and subsets in each. Over 100 columns in all, Spark compiles the
+#: Levels of density 1/2, 1/4, ... at least (see levels_for), and subsets in each. Over 100 columns in all, Spark compiles the
 #: aggregation as many small methods; in one large method it would not be compiled at run time.
-LEVELS, SUBSETS = 9, 12
+LEVELS, SUBSETS = 10, 12
 #: Lexicon terms that are broadcast at most; a larger lexicon is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
 #: Neighbouring documents that are handled together (on average).
@@ -47,20 +48,26 @@ def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float =
     return found.where((F.col("df") >= max(2.0, low * rows)) & (F.col("df") <= high * rows)).select("term")
 
 
-def subset_hashes(rows: DataFrame, keys: list[str], others: list[Column]) -> DataFrame:
-    """(keys, print, others): LEVELS x SUBSETS hashes of each group's distinct terms, 4 hexadecimal digits each, level by level; dots where a subset holds none of them.
+def levels_for(docs: DataFrame, text: str = "text") -> int:
+    """Levels with which a subset of the last one holds a term of the longest text on average at most, LEVELS at least."""
+    most = docs.agg(F.max(F.size(terms(F.col(text)))).alias("n")).first()["n"] or 0
+    return max(LEVELS, most.bit_length())
+
+
+def subset_hashes(rows: DataFrame, keys: list[str], others: list[Column], levels: int = LEVELS) -> DataFrame:
+    """(keys, print, others): levels x SUBSETS hashes of each group's distinct terms, 4 hexadecimal digits each, level by level; dots where a subset holds none of them.
 
     A subset of level l holds the terms whose hash for it ends in l + 1 zero
     bits, and combines these hashes by exclusive or. All is one hash aggregation over longs.
     """
     salted = rows.select("*", *[F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(s))).alias(f"h{s}") for s in range(SUBSETS)])
-    held = [F.bit_xor(F.when(F.col(f"h{s}").bitwiseAND(F.lit((2 << level) - 1)) == 0, F.col(f"h{s}"))).alias(f"x{level}_{s}") for level in range(LEVELS) for s in range(SUBSETS)]
+    held = [F.bit_xor(F.when(F.col(f"h{s}").bitwiseAND(F.lit((2 << level) - 1)) == 0, F.col(f"h{s}"))).alias(f"x{level}_{s}") for level in range(levels) for s in range(SUBSETS)]
     found = salted.groupBy(*keys).agg(*held, *others)
-    digits = [F.when(F.col(f"x{level}_{s}").isNull(), F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(f"x{level}_{s}").bitwiseAND(F.lit(65535))), 4, "0"))) for level in range(LEVELS) for s in range(SUBSETS)]
+    digits = [F.when(F.col(f"x{level}_{s}").isNull(), F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(f"x{level}_{s}").bitwiseAND(F.lit(65535))), 4, "0"))) for level in range(levels) for s in range(SUBSETS)]
     return found.select(*keys, F.concat(*digits).alias("print"), *[c for c in found.columns if c not in keys and not c.startswith("x")])
 
 
-def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column) -> DataFrame:
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column, levels: int = LEVELS) -> DataFrame:
     """Adds how alike two columns of subset hashes are, from 0 to 1; 1 where ``same``.
 
     Of the subsets in which either text has terms, the share that agrees: in
@@ -69,13 +76,13 @@ def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column) -> D
     """
     pieces = lambda c, level: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(c, (i + level * SUBSETS) * 4 + 1, F.lit(4)))
     counts = {}
-    for level in range(LEVELS):
+    for level in range(levels):
         pairs = F.zip_with(pieces(F.col(a), level), pieces(F.col(b), level), lambda x, y: F.when((x == _NONE) & (y == _NONE), 0).when(x == y, 101).otherwise(1))
         # agreeing subsets in hundreds, all that have terms in ones
         counts[f"_l{level}"] = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
     rows = rows.withColumns(counts)
     some, equal = F.lit(0), F.lit(0)
-    for level in range(LEVELS):
+    for level in range(levels):
         n = F.col(f"_l{level}")
         here, agree = n % 100, F.floor(n / 100).cast("int")
         dense = here * 2 >= SUBSETS
@@ -122,6 +129,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     scratch = Scratch(docs.sparkSession, "imatch")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    levels = levels_for(plain)
     words = scratch.put(lexicon(plain), "lexicon")
     size = words.count()
     scratch.free()
@@ -144,7 +152,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     known = spread.join(words, "term", "left").where("hit or short")
     # a null term stands for the text itself; it is in no subset
     known = known.select("bucket", "ghost", "row", "which", "term", *facts)
-    sets = subset_hashes(known, ["bucket", "ghost", "row", "which"], [F.max(c).alias(c) for c in facts] + [F.count("term").alias("terms")])
+    sets = subset_hashes(known, ["bucket", "ghost", "row", "which"], [F.max(c).alias(c) for c in facts] + [F.count("term").alias("terms")], levels)
     of = lambda i, c: F.max(F.when(F.col("which") == i, F.col(c)))
     printed = sets.groupBy("bucket", "ghost", "row").agg(*[F.max(c).alias(c) for c in facts], of(0, "print").alias("a"), of(1, "print").alias("b"), of(0, "terms").alias("n0"), of(1, "terms").alias("n1"))
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
@@ -154,6 +162,6 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     follow = Window.partitionBy("bucket").orderBy("ghost", "row")
     both = printed.withColumn("next_a", F.lead("a").over(follow)).withColumn("next_print", F.lead("fingerprint").over(follow))
     own = both.where("ghost = 0").withColumn("next_a", F.coalesce("next_a", F.lit("")))
-    own = with_likeness(own, "near_edited", "a", "b", F.col("fingerprint") == F.col("edited_fingerprint"))
-    own = with_likeness(own, "near_next", "a", "next_a", F.col("fingerprint") == F.col("next_print"))
+    own = with_likeness(own, "near_edited", "a", "b", F.col("fingerprint") == F.col("edited_fingerprint"), levels)
+    own = with_likeness(own, "near_next", "a", "next_a", F.col("fingerprint") == F.col("next_print"), levels)
     return own.select(F.col("id").alias(key), "n_chars", F.col("sha").alias("edited"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
