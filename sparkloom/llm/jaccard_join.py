@@ -294,19 +294,15 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     classes = sets.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("members"))
     classes = scratch.put(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     company = scratch.put(_company(_signed_fragments(docs, text, width, lower, num, den)), "company")
-    scratch.free()
     near = classes.join(company, "h1")
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = _grams(texts.join(near, F.col("key").eqNullSafe(F.col("rep"))), width, lower)
     rows = scratch.put(rows, "grams")
-    scratch.free()
     common = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = scratch.put(rows.join(common, "gram").select("cid", "gram", "df"), "shared")
     scratch.drop("grams")
-    scratch.free()
     packed = scratch.put(_with_sizes(shared, classes), "packed")
     scratch.drop("shared")
-    scratch.free()
     edges = _bucket_edges(packed, num, den)
     label = components(edges, scratch, "groups").select(F.col("node").alias("cid"), F.col("component").alias("label"))
     label = scratch.put(label, "labels")
@@ -324,7 +320,6 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     answer = of_class.join(least, "joint").select("h1", "h2", "n", "component_id", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     answer = scratch.put(answer, "answer")
     scratch.drop("packed", "labels", "links", "joints", "company", "classes")
-    scratch.free()
     return sets.join(answer, ["h1", "h2", "n"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

@@ -7,6 +7,7 @@ then independent of where the run stands. ``mix`` spreads the result.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ U = np.uint64
 TOP = U(0xFFFFFFFFFFFFFFFF)
 BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 #: Bytes of text that are worked on at once; the arrays take some 100 times as much.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -25,6 +26,19 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+def _return_memory() -> None:
+    """Lets the C library give large freed arrays back to the system at once; else a worker keeps what its largest text took."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD: larger arrays have pages of their own
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+_return_memory()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that makes all bits depend on all bits."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -114,9 +128,15 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.empty(0, U)
-    return Rolling(data.astype(U) + U(1)).runs(starts, ends)
+    """The hash of each word, by stretches of about ``CHUNK`` bytes, so that a long text takes no more than its words' hashes."""
+    out = np.empty(len(starts), U)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + CHUNK, "right")))
+        base = starts[first]
+        out[first:last] = Rolling(data[base : ends[last - 1]].astype(U) + U(1)).runs(starts[first:last] - base, ends[first:last] - base)
+        first = last
+    return out
 
 
 def slide(values: np.ndarray, width: int, best) -> np.ndarray:

@@ -133,11 +133,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     lines = texts.select("_doc", "_name", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
     identity = F.unhex(F.substring(F.sha2("_line", 256), 1, 32))
     seen = scratch.put(with_simhash(lines.withColumn("_sha", identity).withColumn("_len", F.length("_line")), ["_doc", "_name", "_at", "_sha", "_len"], "_line"), "lines")
-    scratch.free()
     place = F.struct("_doc", "_name", "_at")
     distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_bits").alias("_bits"), F.min("_len").alias("_len"))
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
-    scratch.free()
 
     def alike(p: Column, q: Column) -> Column:
         """What tells most pairs apart without their lines."""
@@ -152,7 +150,6 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
         found = split.select(F.col("_w._cid").alias("_cid"), normalised(F.expr("_lines[_w._at]")).alias("_line")).groupBy("_cid").agg(F.max("_line").alias("_line"))
         found = scratch.put(found, tag)
-        scratch.free()
         return found
 
     def linked(pairs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
@@ -170,10 +167,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     others = F.when(F.col("_n") <= MOST, F.col("_next")).otherwise(F.concat(F.array("_head"), F.slice("_next", 1, NEIGHBOURS)))
     near = near.select((F.col("_n") > MOST).alias("_large"), "_a", F.filter(others, lambda o: (o["_cid"] != F.col("_a")["_cid"]) & alike(F.col("_a"), o)).alias("_others"))
     near = scratch.put(near.where("_large or size(_others) > 0"), "near")
-    scratch.free()
     met = near.select("_a", F.explode("_others").alias("_b"))
     pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "pairs")
-    scratch.free()
     found = line_of(pairs.select(F.explode(F.array("a", "b")).alias("_cid")).distinct(), "candidates")
     links = scratch.put(linked(pairs, found, "middles"), "links")
     groups = components(links, scratch, "groups")
@@ -185,7 +180,6 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         own, runs = pieces(found.join(large, "_cid").select("_line", F.struct("_cid", "_bits", "_len", "_group").alias("_a")), similarity)
         met = own.join(runs.withColumnRenamed("_a", "_b"), "_piece").where((F.col("_a._group") != F.col("_b._group")) & (F.col("_a._len") >= F.col("_b._len")) & alike(F.col("_a"), F.col("_b")))
         pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "large-pairs")
-        scratch.free()
         groups = components(links.union(linked(pairs, found, "large-middles")), scratch, "all-groups")
     groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "members")
 
@@ -195,7 +189,6 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     gone = seen.join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     gone = scratch.put(gone, "gone")
     scratch.drop("lines", "distinct", "near", "pairs", "candidates", "middles", "links", "large", "large-lines", "large-pairs", "large-middles", "members", "keepers")
-    scratch.free()
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     joined = rows.select("_row", "_text", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")

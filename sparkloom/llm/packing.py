@@ -6,6 +6,11 @@ each length, so the driver plans on a histogram of ``capacity`` numbers and
 returns ranges: pieces of a length, by rank, to sequences and offsets. Ranks
 and the plan's ranges then meet in Spark. The plan is the one that placing the
 pieces one by one would give; equal open sequences are handled as one run.
+A piece as long as a sequence needs no plan: it is one.
+
+The plan does not grow with the corpus for ever: a length splits one run of
+open sequences at most, so there are some thousands of runs, and a step fills
+a run or ends a length. It is written to the shared folder and joined there.
 """
 
 from __future__ import annotations
@@ -29,14 +34,14 @@ from sparkloom.llm.scratch import Scratch
 
 CAPACITY = 2048
 END_ID = 0
-_SALTS = 64
-#: Bytes of text that are encoded at once.
-CHUNK = 4 << 20
+#: Pieces of a length that are numbered in one task (about), and ranks that meet the plan together.
+NUMBERED, RANKS = 100_000, 256
+#: Bytes of text that are encoded at once; longer texts are cut where the pre-tokenizer cuts anyway.
+CHUNK = 1 << 20
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[0x0A, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xC9)]] = True
 
 
-
 class Encoder:
     """Token ids of whole texts, equal to ``tokenizers``' ``encode(text, add_special_tokens=False).ids``.
 
@@ -44,19 +49,20 @@ class Encoder:
     So a chunk of texts is cut there, and each distinct part is encoded once,
     by ``tiktoken`` from the vocabulary in the very same file; tests hold the
     ids against ``tokenizers``. ``tokenizers`` itself encodes the texts with
-    other characters than line ends and Latin script, or with a space next to
-    white space or at the end.
+    other characters than line ends and Latin script, with a space next to
+    white space or at the end, or with a special token's string, which has the
+    special token's id, as by default.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             vocabulary = json.load(file)["model"]["vocab"]
         letters = byte_letters()
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
-        for token in self.tokenizer.get_added_tokens_decoder().values():
-            ranks.pop(token.content.encode(), None)
+        self.special = [token.content.encode() for token in self.tokenizer.get_added_tokens_decoder().values()]
+        for token in self.special:
+            ranks.pop(token, None)
         self.sizes = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.sizes[i] = len(token)
@@ -107,6 +113,12 @@ class Encoder:
             bad[:-1] |= (data[:-1] == 0xC2) & (data[1:] < 0xA1) | space[:-1] & blank[1:] | blank[:-1] & space[1:]
             last = off[1:][off[1:] > off[:-1]] - 1
             bad[last] |= space[last]
+            raw = data.tobytes()
+            for token in self.special:
+                at = raw.find(token)
+                while at >= 0:
+                    bad[at] = True
+                    at = raw.find(token, at + 1)
         total = np.concatenate([[0], np.cumsum(bad)])
         return total[off[1:]] == total[off[:-1]]
 
@@ -128,6 +140,34 @@ class Encoder:
         return flat, np.stack([first[:-1][back], first[1:][back]], 1) if len(order) else np.empty((0, 2), np.int64)
 
 
+def cut_places(data: np.ndarray, most: int) -> list[int]:
+    """Places at most ``most`` bytes apart, where there are such, at which a text can be cut without a change of its ids.
+
+    The pre-tokenizer always cuts before a space that follows a visible ASCII
+    character. A text without such places is not cut.
+    """
+    out, at = [], 0
+    while len(data) - at > most:
+        view = data[at + 1 : at + most + 1]
+        places = np.flatnonzero((view == 0x20) & (data[at : at + most] > 0x20) & (data[at : at + most] < 0x7F))
+        if len(places):
+            at += 1 + int(places[-1])
+            out.append(at)
+        else:  # on to the first place behind
+            view, before = data[at + most + 1 :], data[at + most : -1]
+            found = 0
+            for begin in range(0, len(view), most):
+                here = np.flatnonzero((view[begin : begin + most] == 0x20) & (before[begin : begin + most] > 0x20) & (before[begin : begin + most] < 0x7F))
+                if len(here):
+                    found = at + most + 1 + begin + int(here[0])
+                    break
+            if not found:
+                break
+            at = found
+            out.append(at)
+    return out
+
+
 def gather_runs(values: np.ndarray, bounds: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """values[start:end] for the bounds of each of ``which``, one behind the other, and their lengths."""
     start, size = bounds[which, 0], bounds[which, 1] - bounds[which, 0]
@@ -152,22 +192,36 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", t
     chosen = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     schema = chosen.select("_key", F.lit(0).alias("piece"), *(F.lit(0).cast("long").alias(x) for x in ("start", "length", "ids_crc32"))).schema
 
+    end_bytes = int(end_id).to_bytes(4, "little")
+
+    def cut(row: int, own: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+        total, start = len(own) // 4, 0
+        for j, n in enumerate([total % capacity or capacity] + [capacity] * ((total - 1) // capacity)):
+            yield row, j, start, n, zlib.crc32(own[4 * start : 4 * (start + n)])
+            start += n
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         for batch in batches:
             data, off = K.utf8(batch.column(1))
-            for first, last, part, at in K.chunks(data, off, CHUNK):
+            # stretches of texts, each text's last one marked by its row
+            stops, ends = [], []
+            for i in range(len(off) - 1):
+                places = cut_places(data[off[i] : off[i + 1]], CHUNK) if off[i + 1] - off[i] > CHUNK else []
+                stops += [off[i] + x for x in places] + [off[i + 1]]
+                ends += [-1] * len(places) + [i]
+            waiting: list[bytes] = []
+            for first, last, part, at in K.chunks(data, np.array([0, *stops], np.int64), CHUNK):
                 ids, begin = encoder.encode(part, at)
                 rows = []
                 for i in range(last - first):
-                    own = ids[begin[i] : begin[i + 1]].astype("<u4").tobytes() + int(end_id).to_bytes(4, "little")
-                    total, start = len(own) // 4, 0
-                    sizes = [total % capacity or capacity] + [capacity] * ((total - 1) // capacity)
-                    for j, n in enumerate(sizes):
-                        rows.append((first + i, j, start, n, zlib.crc32(own[4 * start : 4 * (start + n)])))
-                        start += n
-                table = np.array(rows, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, c].copy()) for c in (2, 3, 4))], schema.names)
+                    waiting.append(ids[begin[i] : begin[i + 1]].astype("<u4").tobytes())
+                    if ends[first + i] >= 0:
+                        rows += cut(ends[first + i], b"".join([*waiting, end_bytes]))
+                        waiting = []
+                if rows:
+                    table = np.array(rows, np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(table[:, 0])), pa.array(table[:, 1].astype(np.int32)), *(pa.array(table[:, c].copy()) for c in (2, 3, 4))], schema.names)
 
     return chosen.mapInArrow(run, schema)
 
@@ -245,35 +299,37 @@ def pack(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", tex
 
     Sequences hold at most ``capacity`` ids and have no gaps. Null and empty
     texts are one end id; repeated rows are packed each; no rows give no rows.
-    Only the key column of ``docs`` is kept, under its own name.
+    Only the key column of ``docs`` is kept, under its own name; where that is
+    one of the other six, the key comes first and keeps it, and the other one
+    has an underscore behind. Texts of any length are encoded whole, by
+    stretches; a task holds the ids of one text.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
-    made = scratch.put(pieces(docs, tokenizer, key, text, capacity, end_id), "pieces")
-    salted = made.withColumn("_salt", F.pmod(F.xxhash64("_key", "piece"), F.lit(_SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("n"))
-    bound = counts.groupBy("length").agg(F.sum("n").alias("n"))  # capacity rows at most
-    plan = best_fit_decreasing({r["length"]: r["n"] for r in bound.collect()}, capacity)
-    before = counts.select("length", "_salt", (F.sum("n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_key", "piece", "start", "ids_crc32")) - 1
-    numbered = salted.withColumn("_rank", rank).join(F.broadcast(before), ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    by_length: dict[int, list[tuple]] = {}
-    for step in plan:
-        by_length.setdefault(step[0], []).append(step[1:])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = {n: np.array(x, np.int64) for n, x in by_length.items()}
-        for batch in batches:
-            length, r = (batch.column(batch.schema.get_field_index(x)).to_numpy(zero_copy_only=False) for x in ("length", "_rank"))
-            sequence, offset = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
-            for n in np.unique(length):
-                mine, steps = np.flatnonzero(length == n), tables[int(n)]
-                step = steps[np.searchsorted(steps[:, 0], r[mine], "right") - 1]
-                inside = r[mine] - step[:, 0]
-                sequence[mine] = step[:, 2] + inside // step[:, 3]
-                offset[mine] = step[:, 4] + inside % step[:, 3] * n
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [*batch.schema.names[:5], "sequence_id", "offset"])
-
-    chosen = numbered.select("_key", "piece", "start", "length", "ids_crc32", "_rank")
-    schema = chosen.select("_key", "piece", "start", "length", "ids_crc32", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).schema
-    return chosen.mapInArrow(place, schema).withColumnRenamed("_key", key)
+    made = scratch.put(pieces(docs, tokenizer, key, text, capacity, end_id).withColumn("_id", F.monotonically_increasing_id()), "pieces")
+    facts = ["_key", "piece", "start", "length", "ids_crc32"]
+    whole = made.where(F.col("length") == capacity).select(*facts, (-1 - F.col("_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = made.where(F.col("length") < capacity)
+    bound = {r["length"]: r["n"] for r in rest.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer rows than ``capacity``
+    if not bound:
+        return _renamed(whole, key)
+    plan = np.array(best_fit_decreasing(bound, capacity), np.int64)
+    names = ["length", "_rank", "_n", "_first", "_each", "_offset"]
+    steps = scratch.put(spark.createDataFrame(pa.table({x: plan[:, i] for i, x in enumerate(names)})), "plan")
+    # ranks of a length: salted parts are numbered by themselves, behind those before them
+    salts = spark.createDataFrame(pa.table({"length": pa.array(list(bound), pa.int64()), "_salts": pa.array([-(-n // NUMBERED) for n in bound.values()], pa.int64())}))
+    salted = rest.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")))
+    counts = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_in"))
+    before = counts.select("length", "_salt", (F.sum("_in").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_in")).alias("_before"))
+    numbered = salted.withColumn("_at", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_id")) - 1)
+    ranked = numbered.join(before, ["length", "_salt"]).withColumn("_r", F.col("_at") + F.col("_before")).withColumn("_block", F.floor(F.col("_r") / RANKS))
+    spread = steps.withColumn("_block", F.explode(F.sequence(F.floor(F.col("_rank") / RANKS), F.floor((F.col("_rank") + F.col("_n") - 1) / RANKS))))
+    inside = F.col("_r") - F.col("_rank")
+    met = ranked.join(spread, ["length", "_block"]).where((inside >= 0) & (inside < F.col("_n")))
+    placed = met.select(*facts, (F.col("_first") + F.floor(inside / F.col("_each"))).alias("sequence_id"), (F.col("_offset") + inside % F.col("_each") * F.col("length")).alias("offset"))
+    return _renamed(whole.unionByName(placed), key)
+
+
+def _renamed(found: DataFrame, key: str) -> DataFrame:
+    clash = [c for c in found.columns if c == key]
+    return found.withColumnsRenamed({c: f"{c}_" for c in clash}).withColumnRenamed("_key", key)

@@ -109,10 +109,8 @@ def suspects(docs: DataFrame, unit: DataFrame, symbols: Symbols, size: int, k: i
     """
     named = docs.select(F.xxhash64("text").alias("name"), "text")
     shared = scratch.put(_shared(_anchors(named, symbols, size, k)), "anchors")  # a row may come twice
-    scratch.free()
     hot = shared.groupBy("anchor").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") > hot_texts).select("anchor", F.col("anchor").alias("hot"))
     hot = scratch.put(hot, "hot")
-    scratch.free()
     lists = shared.join(hot, "anchor", "left").groupBy(F.col("doc").alias("name")).agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,9 +139,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     texts = R.suspects(plain, unit, R.word_symbols, size, gram, hot_texts, scratch)
     spans = scratch.put(_repeated(_leaves(texts, size, gram), size), "runs")
     scratch.drop("anchors")
-    scratch.free()
     rows = R.decided(docs, key, text, unit, spans, scratch)
-    scratch.free()
     schema = rows.select("key", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit("").alias("kept")).schema
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
