@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from sparkloom.llm.scratch import Scratch
+from sparkloom.llm.scratch import Scratch, released
 
 #: Less like its language's profile than this, a text is in none of the languages (see language_id.Profiles.predict).
 LEAST_SCORE = 0.2
@@ -76,9 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = None
     for name, stage in STAGES:
         tag = name.replace(" ", "-")
-        docs = scratch.put(stage(spark, docs, sf_dir), tag)
+        with released():
+            docs = scratch.put(stage(spark, docs, sf_dir), tag)
         if before:
             scratch.drop(before)
-        scratch.free()
         before = tag
     return docs
