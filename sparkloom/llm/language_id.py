@@ -14,8 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.llm.scratch import bound_batches
+
 #: n-grams in a profile and in a document's list.
 PROFILE_SIZE = 400
+#: Characters of a text that are worked on at once, and codes of a language that a task holds (about).
+STRETCH, HELD = 1 << 16, 500_000
 _LETTERS: list[np.ndarray] = []
 _SALTS = 64
 
@@ -26,21 +30,52 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def grams(text: str) -> np.ndarray:
-    """Codes of all 1- to 3-grams; runs of non-letters are one separator, code point 1."""
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
-    if not letter.any():
-        return np.empty(0, np.int64)
-    points = np.concatenate([[1], np.where(letter, points, 1), [1]]).astype(np.int64)
-    points = points[np.concatenate([[True], (points[1:] != 1) | (points[:-1] != 1)])]
-    two = points[:-1] << 21 | points[1:]
-    return np.concatenate([points[points != 1], two, two[:-1] << 21 | points[2:]])
-
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Codes of all 1- to 3-grams, stretch by stretch; runs of non-letters are one separator, code point 1.
 
-def ranked(codes: np.ndarray, size: int) -> np.ndarray:
+    Non-letters at the ends of the text count as one separator each.
+    """
+    lower = text.lower()
+    before = np.array([1], np.int64)  # the last two points so far, or the one
+    letters = False
+    for at in range(0, len(lower), STRETCH):
+        points = np.frombuffer(lower[at : at + STRETCH].encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = _letters()[points]
+        letters |= bool(letter.any())
+        points = np.concatenate([before, np.where(letter, points, 1), [1] if at + STRETCH >= len(lower) else []]).astype(np.int64)
+        old = len(before)
+        keep = np.concatenate([[True], (points[1:] != 1) | (points[:-1] != 1)])
+        keep[:old] = True
+        points = points[keep]
+        if letters:
+            new = points[old:]
+            two = points[old - 1 : -1] << 21 | new
+            three = points[:-2] << 42 | points[1:-1] << 21 | points[2:]
+            yield np.concatenate([new[new != 1], two, three[max(0, old - 2) :]])
+        before = points[-2:]
+
+
+def counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) in ascending order of codes, of several such."""
+    codes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    values, which = np.unique(codes, return_inverse=True)
+    return values, np.bincount(which, counts, len(values)).astype(np.int64)
+
+
+def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of a text; memory follows its distinct codes and STRETCH, not its length."""
+    parts = []
+    for codes in grams(text):
+        parts.append(np.unique(codes, return_counts=True))
+        if len(parts) > 16:
+            parts = [counted(parts)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return parts[0] if len(parts) == 1 else counted(parts)
+
+
+def ranked(values: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
     """The most frequent codes, ties by code."""
-    values, counts = np.unique(codes, return_counts=True)
     if len(values) > size:
         least = np.partition(counts, len(counts) - size)[len(counts) - size]
         keep = counts >= least
@@ -61,7 +96,7 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); score is 1 less the distance's share of its maximum."""
-        own = ranked(grams(text or ""), self.size)
+        own = ranked(*gram_counts(text or ""), self.size)
         if not len(own) or not self.names:
             return "und", 0.0
         rank = np.arange(len(own))
@@ -78,28 +113,33 @@ class Profiles:
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = PROFILE_SIZE) -> Profiles:
     """Profiles from all rows of ``docs`` with text and language.
 
-    Every text counts in full. n-grams are summed per batch, then by Spark; the
+    Every text counts in full, whatever its length. n-grams are summed per batch, then by Spark; the
     driver gets ``size`` n-grams per language only. Rows without text or
     language add nothing; a language without letters has no profile.
     """
 
+    bound_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            waiting: dict[str, list[np.ndarray]] = {}
+            waiting: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             held: dict[str, int] = {}
 
             def summed(name: str) -> pa.RecordBatch:
-                values, n = np.unique(np.concatenate(waiting.pop(name)), return_counts=True)
+                values, n = counted(waiting.pop(name))
                 held.pop(name)
-                return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n.astype(np.int64))], ["lang", "gram", "n"])
+                return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(values), pa.array(n)], ["lang", "gram", "n"])
 
             for row, name in enumerate(batch.column(0).to_pylist()):
-                codes = grams(batch.column(1)[row].as_py())
-                if len(codes):
-                    waiting.setdefault(name, []).append(codes)
-                    held[name] = held.get(name, 0) + len(codes)
-                    if held[name] > 4_000_000:
-                        yield summed(name)
+                own = gram_counts(batch.column(1)[row].as_py())
+                if len(own[0]):
+                    waiting.setdefault(name, []).append(own)
+                    held[name] = held.get(name, 0) + len(own[0])
+                    if held[name] > HELD:  # merge; send on what does not shrink
+                        waiting[name] = [counted(waiting[name])]
+                        held[name] = len(waiting[name][0][0])
+                        if held[name] > HELD // 2:
+                            yield summed(name)
             for name in list(waiting):
                 yield summed(name)
 
@@ -122,6 +162,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", keep: list
     nothing was learned. Equal distances go to the alphabetically first
     language. Repeated rows and all other columns pass through.
     """
+    bound_batches(docs.sparkSession)
     kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     chosen = docs.select(F.struct(*kept).alias("row"), F.col(text).alias("text"))
     schema = chosen.select("row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema

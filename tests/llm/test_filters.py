@@ -52,7 +52,7 @@ def test_languages(make, spark):
 
 def test_out_of_place_distance_by_hand():
     profiles = language_id.Profiles({"p": [ord("a"), ord("b"), 1 << 21 | ord("a")], "q": [ord("z")]}, size=3)
-    codes = language_id.ranked(language_id.grams("a"), 3)  # a, then the padded pairs by code
+    codes = language_id.ranked(*language_id.gram_counts("a"), 3)  # a, then the padded pairs by code
     assert codes.tolist() == sorted([ord("a"), 1 << 21 | ord("a"), ord("a") << 21 | 1])
     name, score = profiles.predict("a")
     out = [abs({ord("a"): 0, 1 << 21 | ord("a"): 2}[c] - i) if c in (ord("a"), 1 << 21 | ord("a")) else 3 for i, c in enumerate(codes.tolist())]
