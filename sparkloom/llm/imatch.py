@@ -1,13 +1,15 @@
 """I-Match fingerprints with randomised lexicons, with DataFrame functions only.
 
 Terms whose share of the documents lies within a band, that is whose inverse
-document frequency does, make up the lexicon. A fingerprint hashes a
-document's distinct lexicon terms, once for each of several randomised subsets
-of the lexicon, by a hash that is the same in any order of the terms, so that
-they need no sorting. Subsets come in levels, each half as dense as the one
-before, so that long and short documents both have subsets in which they keep
-a few terms only; an edit changes the hashes of the subsets that it touches.
-There are as many levels as the text with the most distinct terms needs.
+document frequency does, make up the lexicon. A fingerprint sorts a document's
+distinct lexicon terms and hashes them, once for each of several randomised
+subsets of the lexicon. Subsets come in levels, each half as dense as the one
+before, of which every text takes ``LEVELS``: those that hold from some four of
+its terms down to next to none, whatever its length. An edit changes the hashes
+of the subsets that it touches.
+
+Which subsets hold a term is drawn once per lexicon term: a ``depth`` for each
+of ``SUBSETS`` salts, 5 bits each, in one long.
 
 The band's lower end bounds the lexicon whatever the corpus: there are at most
 (mean distinct terms of a document) / ``LOW`` terms that frequent, which is
@@ -19,70 +21,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.scratch import Scratch
+from sparkloom.llm.scratch import Scratch, settings
 
 #: The band: shares of the documents that have a term. log2(1 / share) is its inverse document frequency.
 LOW, HIGH = 0.0005, 0.2
-#: Levels of density 1/2, 1/4, ... at least (see levels_for), and subsets in each. Over 100 columns in all, Spark compiles the
-#: aggregation as many small methods; in one large method it would not be compiled at run time.
-LEVELS, SUBSETS = 10, 12
+#: Levels of a text, and randomised subsets of the lexicon in each.
+LEVELS, SUBSETS = 6, 12
+#: A text's first level is so many below the base-2 logarithm of its lexicon terms: a subset there holds 2 to 4 of them on average.
+DENSER = 2
 #: Lexicon terms that are broadcast at most; a larger lexicon is joined by shuffling.
 BROADCAST_TERMS = 2_000_000
-#: Neighbouring documents that are handled together (on average).
-NEIGHBOURS = 256
-#: Texts of at most so many distinct terms are fingerprinted by all their terms.
-SHORT = 30
-_NONE = "...."
+_DEEPEST = 31
+_NONE = -1
 
 
 def terms(text: Column) -> Column:
-    """Distinct lower-case runs of letters and digits."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    """Hashes of the distinct lower-case runs of letters and digits, in ascending order."""
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
 def lexicon(docs: DataFrame, text: str = "text", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """(term): hashes of the terms whose document frequency, over all rows, is within the band, and at least 2."""
-    n = docs.agg(F.count(F.lit(1)).alias("n"))
-    found = docs.select(F.explode(terms(F.col(text))).alias("w")).groupBy(F.xxhash64("w").alias("term")).agg(F.count(F.lit(1)).alias("df"))
-    rows = n.first()["n"]
-    return found.where((F.col("df") >= max(2.0, low * rows)) & (F.col("df") <= high * rows)).select("term")
-
-
-def levels_for(docs: DataFrame, text: str = "text") -> int:
-    """Levels with which a subset of the last one holds a term of the longest text on average at most, LEVELS at least."""
-    most = docs.agg(F.max(F.size(terms(F.col(text)))).alias("n")).first()["n"] or 0
-    return max(LEVELS, most.bit_length())
+    """(term, depths) of the terms whose document frequency, over all rows, is within the band, and at least 2.
 
+    The depth for a salt is the number of zero bits that a hash of term and salt ends in; a subset of level l holds the deeper ones than l.
+    """
+    rows = docs.count()
+    found = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kept = found.where((F.col("df") >= max(2.0, low * rows)) & (F.col("df") <= high * rows)).select("term")
+    depths = F.lit(0).cast("long")
+    for s in range(SUBSETS):
+        low_bits = F.xxhash64("term", F.lit(s)).bitwiseAND(F.lit((1 << _DEEPEST) - 1))
+        zeros = F.least(F.bit_count(F.bitwise_not(low_bits).bitwiseAND(low_bits - 1)), F.lit(_DEEPEST))
+        depths = depths.bitwiseOR(F.shiftleft(zeros.cast("long"), 5 * s))
+    return kept.select("term", depths.alias("depths"))
 
-def subset_hashes(rows: DataFrame, keys: list[str], others: list[Column], levels: int = LEVELS) -> DataFrame:
-    """(keys, print, others): levels x SUBSETS hashes of each group's distinct terms, 4 hexadecimal digits each, level by level; dots where a subset holds none of them.
 
-    A subset of level l holds the terms whose hash for it ends in l + 1 zero
-    bits, and combines these hashes by exclusive or. All is one hash aggregation over longs.
-    """
-    salted = rows.select("*", *[F.when(F.col("term").isNotNull(), F.xxhash64("term", F.lit(s))).alias(f"h{s}") for s in range(SUBSETS)])
-    held = [F.bit_xor(F.when(F.col(f"h{s}").bitwiseAND(F.lit((2 << level) - 1)) == 0, F.col(f"h{s}"))).alias(f"x{level}_{s}") for level in range(levels) for s in range(SUBSETS)]
-    found = salted.groupBy(*keys).agg(*held, *others)
-    digits = [F.when(F.col(f"x{level}_{s}").isNull(), F.lit(_NONE)).otherwise(F.lower(F.lpad(F.hex(F.xxhash64(f"x{level}_{s}").bitwiseAND(F.lit(65535))), 4, "0"))) for level in range(levels) for s in range(SUBSETS)]
-    return found.select(*keys, F.concat(*digits).alias("print"), *[c for c in found.columns if c not in keys and not c.startswith("x")])
+def hashes(found: str, first: str) -> Column:
+    """SUBSETS x LEVELS hashes of 16 bits of a sorted array of (term, depths), subset by subset, each from level ``first`` on; -1 where a subset holds no term."""
+    held = f"transform(filter({found}, x -> (shiftright(x.depths, 5 * s) & 31) > {first}), x -> struct(x.term as term, shiftright(x.depths, 5 * s) & 31 as depth))"
+    kept = f"transform(filter(h, y -> y.depth > {first} + j), y -> y.term)"
+    one = f"transform(sequence(0, {LEVELS - 1}), j -> {kept})"
+    lists = f"flatten(transform(sequence(0, {SUBSETS - 1}), s -> transform(array({held}), h -> {one})[0]))"
+    return F.expr(f"transform({lists}, t -> if(size(t) = 0, {_NONE}, cast(xxhash64(t) & 65535 as int)))")
 
 
-def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column, levels: int = LEVELS) -> DataFrame:
-    """Adds how alike two columns of subset hashes are, from 0 to 1; 1 where ``same``.
+def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column) -> DataFrame:
+    """Adds how alike two prints (columns a, b, and their first levels a_first, b_first) are, from 0 to 1; 1 where ``same``.
 
     Of the subsets in which either text has terms, the share that agrees: in
-    the least dense level in which at least half of the subsets have some, and
-    in all levels less dense than it. No such level: in all.
+    the least dense common level in which at least half of the subsets have
+    some, and in all common levels less dense than it. No such level: in all common ones.
     """
-    pieces = lambda c, level: F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), lambda i: F.substring(c, (i + level * SUBSETS) * 4 + 1, F.lit(4)))
     counts = {}
-    for level in range(levels):
-        pairs = F.zip_with(pieces(F.col(a), level), pieces(F.col(b), level), lambda x, y: F.when((x == _NONE) & (y == _NONE), 0).when(x == y, 101).otherwise(1))
+    for level in range(LEVELS):
+        other = f"({a}_first + {level} - {b}_first)"
+        x, y = f"{a}[i * {LEVELS} + {level}]", f"{b}[i * {LEVELS} + {other}]"
         # agreeing subsets in hundreds, all that have terms in ones
-        counts[f"_l{level}"] = F.aggregate(pairs, F.lit(0), lambda n, x: n + x)
+        count = f"aggregate(sequence(0, {SUBSETS - 1}), 0, (n, i) -> n + case when {x} = {_NONE} and {y} = {_NONE} then 0 when {x} = {y} then 101 else 1 end)"
+        counts[f"_l{level}"] = F.expr(f"if({other} between 0 and {LEVELS - 1}, {count}, 0)")
     rows = rows.withColumns(counts)
     some, equal = F.lit(0), F.lit(0)
-    for level in range(levels):
+    for level in range(LEVELS):
         n = F.col(f"_l{level}")
         here, agree = n % 100, F.floor(n / 100).cast("int")
         dense = here * 2 >= SUBSETS
@@ -92,27 +92,25 @@ def with_likeness(rows: DataFrame, name: str, a: str, b: str, same: Column, leve
     return found.withColumn(name, F.when(same, F.lit(1.0)).otherwise(share)).drop("_some", "_equal")
 
 
-def in_order(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(bucket, ghost, id, text) of (id, text): buckets of neighbours by id, each with the next bucket's first row as a ghost (the last: the first's).
+def in_order(keyed: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k1, k2, id, n, m, n1, n2, p1, p2, need) of (k1, k2, id, n): a row for each distinct (k1, k2), m of which there are, with the keys of the next and previous one and a quarter of the previous one's n.
 
-    Null ids come last. A bucket covers an equal range of ids, with NEIGHBOURS rows on average.
+    By ascending id, nulls last, then k2; the last one's next is the first.
+    Ids are cut into ranges of about as many rows (whatever their values), so
+    that only the ends of ranges are put in order in one task.
     """
-    top = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi = (top["lo"] or 0), (top["hi"] or 0)
-    width = max(1, (hi - lo + 1) * NEIGHBOURS // max(top["n"], 1))
-    placed = docs.select(F.coalesce(F.floor((F.col("id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit((hi - lo) // width + 1)).alias("bucket"), F.coalesce("id", F.lit(2**63 - 1)).alias("place"), F.xxhash64("text").alias("name"), "id", "text")
-    heads = scratch.put(placed.groupBy("bucket").agg(F.min(F.struct("place", "name")).alias("head")), "heads")
-    # the next bucket within 4096 of them, else the next group's first; a task sees 1 / (4096 x NEIGHBOURS) of the ids at most
-    group = F.floor(F.col("bucket") / 4096)
-    firsts = heads.groupBy(group.alias("g")).agg(F.min("bucket").alias("first"))
-    everything = Window.orderBy("g")
-    wrapped = F.coalesce(F.lead("first").over(everything), F.first("first").over(everything))
-    after = firsts.select("g", wrapped.alias("after"))
-    linked = heads.withColumn("g", group).join(after, "g").select("bucket", F.coalesce(F.lead("bucket").over(Window.partitionBy("g").orderBy("bucket")), "after").alias("next"))
-    ghosts = linked.join(heads.select(F.col("bucket").alias("next"), "head"), "next").select(F.col("bucket").alias("at"), "head.place", "head.name")
-    ghosts = scratch.put(ghosts, "ghosts")
-    copies = placed.join(ghosts, ["place", "name"]).select(F.col("at").alias("bucket"), F.lit(1).alias("ghost"), "place", "name", "id", "text").dropDuplicates(["bucket"])
-    return placed.select("bucket", F.lit(0).alias("ghost"), "place", "name", "id", "text").unionByName(copies)
+    single = keyed.groupBy("k1", "k2").agg(F.max("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("m")).withColumn("last", F.col("id").isNull())
+    # no adaptive split or merge may come between the ranges and their numbers
+    ranged = scratch.put(single.repartitionByRange("last", "id", "k2").withColumn("range", F.spark_partition_id()), "ranges")
+    fact = F.struct("last", "id", "k2", "k1", "n")
+    ends = ranged.groupBy("range").agg(F.min(fact).alias("head"), F.max(fact).alias("tail"))  # a row for each range
+    every = Window.orderBy("range")
+    whole = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("range", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("after"), F.coalesce(F.lag("tail").over(every), F.last("tail").over(whole)).alias("ahead"))
+    own = Window.partitionBy("range").orderBy("last", "id", "k2")
+    near = ranged.withColumn("next", F.lead(fact).over(own)).withColumn("prev", F.lag(fact).over(own)).join(F.broadcast(ends), "range")
+    near = near.withColumn("next", F.coalesce("next", "after")).withColumn("prev", F.coalesce("prev", "ahead"))
+    return near.select("k1", "k2", "id", "n", "m", F.col("next.k1").alias("n1"), F.col("next.k2").alias("n2"), F.col("prev.k1").alias("p1"), F.col("prev.k2").alias("p2"), F.floor(F.col("prev.n") / 4).cast("int").alias("need"))
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,48 +118,54 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     edited is the SHA-256 of the text whose last quarter is replaced by the
     start of the next document's, in ascending order of key (nulls last, ties
-    by the text's hash; after the last comes the first, which for a single row
-    is itself). Texts count as empty if null. A text without lexicon terms
-    that has more than SHORT terms, or none, as an empty one, is fingerprinted
-    by its own hash: such fingerprints are alike (1) if equal, else not (0).
-    Equal texts have equal fingerprints. Repeated rows stay. No rows give no
-    rows; other columns are not looked at.
+    by the text's hash; after the last comes the first, which for a single one
+    is itself). Rows that repeat key and text are one document in that order
+    and have equal results. Texts count as empty if null. A fingerprint is the
+    first level, two digits, and subset by subset the hashes of its levels, four
+    digits each, dots where none of the terms is held. A text without lexicon terms, as an empty
+    one, is fingerprinted by its own hash: such fingerprints are alike (1) if
+    equal, else not (0). Equal texts have equal fingerprints. Texts may have
+    any length. No rows give no rows; other columns are not looked at.
     """
-    scratch = Scratch(docs.sparkSession, "imatch")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "imatch")
     plain = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    levels = levels_for(plain)
     words = scratch.put(lexicon(plain), "lexicon")
-    size = words.count()
-    scratch.free()
-    words = words.withColumn("hit", F.lit(True))
-    words = F.broadcast(words) if size <= BROADCAST_TERMS else words
-    order = Window.partitionBy("bucket").orderBy("ghost", "place", "name")
-    rows = in_order(plain, scratch).withColumn("next", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(next, 1, cast(floor(length(text) / 4) as int))"))
-    rows = rows.select("bucket", "ghost", "row", "id", n.cast("long").alias("n_chars"), "text", F.when(F.col("ghost") == 0, edited).alias("edited"))
-    # the digest as four longs: a hash aggregation holds nothing else
+    words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
+    keyed = plain.select(F.coalesce("id", F.lit(0)).alias("k1"), F.xxhash64("text", F.col("id").isNull()).alias("k2"), "id", "text")
+    order = scratch.put(in_order(keyed.select("k1", "k2", "id", F.length("text").alias("n")), scratch), "order")
+    single = keyed.select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    given = single.join(order.hint("merge"), ["k1", "k2"])
+    starts = given.select(F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("substring(text, 1, need)").alias("start"))
+    rows = given.join(starts.hint("merge"), ["k1", "k2"])
+    edited = F.concat(F.expr("substring(text, 1, n - cast(floor(n / 4) as int))"), F.col("start"))
+    rows = rows.select("k1", "k2", "text", edited.alias("edited"))
+    # the digest as four longs, and a hash of either text for those without terms
     sha = F.sha2("edited", 256)
-    quarters = [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"sha{i}") for i in range(4)]
-    facts = ["id", "n_chars", *[f"sha{i}" for i in range(4)], "bare0", "bare1"]
-    rows = rows.select("bucket", "ghost", "row", "id", "n_chars", *quarters, F.xxhash64("text").alias("bare0"), F.xxhash64("edited").alias("bare1"), terms(F.col("text")).alias("a"), terms(F.coalesce("edited", F.lit(""))).alias("b"))
-    item = lambda w, which, many: F.struct(F.lit(which).alias("which"), F.xxhash64(w).alias("term"), (many <= SHORT).alias("short"))
-    head = F.array(*[F.struct(F.lit(i).alias("which"), F.lit(None).cast("long").alias("term"), F.lit(True).alias("short")) for i in (0, 1)])
-    listed = F.concat(head, F.transform("a", lambda w: item(w, 0, F.size("a"))), F.transform("b", lambda w: item(w, 1, F.size("b"))))
-    spread = rows.select("bucket", "ghost", "row", *facts, F.explode(listed).alias("x")).select("bucket", "ghost", "row", *facts, "x.which", "x.term", "x.short")
-    known = spread.join(words, "term", "left").where("hit or short")
-    # a null term stands for the text itself; it is in no subset
-    known = known.select("bucket", "ghost", "row", "which", "term", *facts)
-    sets = subset_hashes(known, ["bucket", "ghost", "row", "which"], [F.max(c).alias(c) for c in facts] + [F.count("term").alias("terms")], levels)
-    of = lambda i, c: F.max(F.when(F.col("which") == i, F.col(c)))
-    printed = sets.groupBy("bucket", "ghost", "row").agg(*[F.max(c).alias(c) for c in facts], of(0, "print").alias("a"), of(1, "print").alias("b"), of(0, "terms").alias("n0"), of(1, "terms").alias("n1"))
+    quarters = [F.conv(F.substring(sha, 1 + 16 * i, 16), 16, -10).cast("bigint") for i in range(4)]
+    facts = F.array(*quarters, F.xxhash64("text"), F.xxhash64("edited"))
+    both = rows.select("k1", "k2", facts.alias("facts"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("x"))
+    both = both.select("k1", "k2", "x.which", F.when(F.col("x.which") == 0, F.col("facts")).alias("facts"), terms(F.col("x.text")).alias("terms"))
+    spread = both.select("k1", "k2", "which", F.posexplode_outer("terms").alias("at", "term"), "facts")
+    spread = spread.select("k1", "k2", "which", "term", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("facts")).alias("facts"))
+    known = spread.join(words, "term", "left").where("depths is not null or facts is not null")
+    of = lambda i: F.sort_array(F.collect_list(F.when((F.col("which") == i) & F.col("depths").isNotNull(), F.struct("term", "depths"))))
+    sets = known.groupBy("k1", "k2").agg(of(0).alias("a"), of(1).alias("b"), F.max("facts").alias("facts"))
+    level = lambda c: F.greatest(F.lit(0), F.length(F.bin(F.size(c))) - 1 - DENSER)
+    sets = sets.withColumns({"a_first": level("a"), "b_first": level("b")})
+    printed = sets.select("k1", "k2", "facts", F.size("a").alias("a_terms"), F.size("b").alias("b_terms"), "a_first", "b_first", hashes("a", "a_first").alias("a"), hashes("b", "b_first").alias("b"))
+    # rows of a text are neighbours already, so that sorted aggregation needs no sort
+    with settings(spark, {"spark.sql.execution.useObjectHashAggregateExec": "false"}):
+        printed = scratch.put(printed, "prints")
+    scratch.drop("ranges")
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    printed = printed.withColumn("sha", F.concat(*[digits(f"sha{i}") for i in range(4)]))
-    line = lambda c, n, bare: F.concat(c, F.when(F.col(n) == 0, digits(bare)).otherwise(F.lit("")))
-    printed = printed.withColumn("fingerprint", line("a", "n0", "bare0")).withColumn("edited_fingerprint", line("b", "n1", "bare1"))
-    follow = Window.partitionBy("bucket").orderBy("ghost", "row")
-    both = printed.withColumn("next_a", F.lead("a").over(follow)).withColumn("next_print", F.lead("fingerprint").over(follow))
-    own = both.where("ghost = 0").withColumn("next_a", F.coalesce("next_a", F.lit("")))
-    own = with_likeness(own, "near_edited", "a", "b", F.col("fingerprint") == F.col("edited_fingerprint"), levels)
-    own = with_likeness(own, "near_next", "a", "next_a", F.col("fingerprint") == F.col("next_print"), levels)
-    return own.select(F.col("id").alias(key), "n_chars", F.col("sha").alias("edited"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    four = lambda x: F.when(x == _NONE, F.lit("....")).otherwise(F.lower(F.lpad(F.hex(x), 4, "0")))
+    line = lambda c, at: F.when(F.col(f"{c}_terms") == 0, digits(F.col("facts")[at])).otherwise(F.concat(F.lpad(F.col(f"{c}_first").cast("string"), 2, "0"), F.array_join(F.transform(c, four), "")))
+    printed = printed.withColumns({"fingerprint": line("a", 4), "edited_fingerprint": line("b", 5)})
+    nexts = printed.select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), F.col("a").alias("c"), F.col("a_first").alias("c_first"), F.col("fingerprint").alias("next_print"))
+    own = printed.join(order.select("k1", "k2", "id", "n", "m", "n1", "n2"), ["k1", "k2"]).join(nexts, ["n1", "n2"])
+    own = with_likeness(own, "near_edited", "a", "b", F.col("fingerprint") == F.col("edited_fingerprint"))
+    own = with_likeness(own, "near_next", "a", "c", F.col("fingerprint") == F.col("next_print"))
+    edited_sha = F.concat(*[digits(F.col("facts")[i]) for i in range(4)])
+    own = own.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_chars"), edited_sha.alias("edited"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.col("m").alias("_m"))
+    return own.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m")))).drop("_m")
