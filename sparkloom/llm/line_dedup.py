@@ -1,64 +1,103 @@
 """Fuzzy line deduplication, with DataFrame functions only.
 
-Lines are normalised and collapsed to distinct ones. Two distinct lines are
-candidates if their 63-bit SimHashes differ in at most ``DISTANCE`` bits: cut
-into ``BLOCKS`` blocks, they then agree in ``BLOCKS - DISTANCE`` of them, so
-lines meet under each choice of that many blocks. Edit similarity confirms.
-Of every connected group of lines the first occurrence in the corpus stays.
-
-In a bucket of up to ``MOST`` lines every pair is compared. Lines of larger
-buckets, as those in which one word prevails, get a head start with their
-neighbours in SimHash order; then all pairs of them that are not connected yet
-meet by pieces: if the longer one of two lines, of which ``edits`` may differ,
-is cut into ``edits`` + 1 pieces, the other one holds one of these unchanged.
-So every pair within ``DISTANCE`` bits and the edit similarity is linked,
-directly or through others.
+Lines are normalised and collapsed to distinct ones. A line's SimHash has 63
+majority bits over its distinct words, so that a word that prevails in a line
+does not decide it. Distinct lines meet under pigeonhole blocks:
+
+* of the bits: cut into ``BLOCKS`` blocks, two hashes that differ in at most
+  ``DISTANCE`` bits agree in ``BLOCKS - DISTANCE`` blocks, so there is a key for
+  each choice of that many blocks;
+* of the words: a changed word or two moves more than that in a line of usual
+  length, but leaves most of its 8, 4 or 2 segments as they are (half of them
+  counted from either end, so that an added word shifts no others), so there is
+  a key for each segment of ``SEGMENT`` words or more.
+
+Pairs that meet, differ in at most ``FAR`` bits and are about as long have
+their edit similarity computed. Of every connected group of lines the first
+occurrence in the corpus stays.
+
+Every pair of a bucket counts, but not all are made: lines meet the bucket's
+first and last line, and only where a bucket's lines are not connected by then,
+those of different groups are compared with each other, inside a join that
+emits similar pairs alone.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.components import components
 from sparkloom.llm.scratch import Scratch
 
-#: Differing bits that are looked for, and blocks that the 63 bits are cut into.
+#: Differing bits for which the blocks miss nothing, and blocks that the 63 bits are cut into.
 DISTANCE, BLOCKS = 3, 5
-#: Lines of a bucket that are compared pair by pair, and neighbours that a line of a larger bucket meets at first.
-MOST, NEIGHBOURS = 32, 4
+#: Words of a segment at least, and bits in which lines that meet may differ.
+SEGMENT, FAR = 3, 16
 #: The least edit similarity: 1 - distance / the longer length.
 SIMILARITY = 0.9
-#: Shorter normalised lines are never removed.
-MIN_CHARS = 20
-_LANES = 21
-#: A lane counts so far, with a bit to spare; a line of more words is hashed as one word, so it has no fuzzy matches but exact ones.
-MOST_WORDS = (1 << 20) - 1
+#: Shorter normalised lines are never removed; empty ones never are.
+MIN_CHARS = 1
+#: Words that are summed in 3-bit lanes, and in 9-bit lanes.
+_FEW, _MANY = 7, 252
+_THIN, _WIDE = sum(1 << 3 * k for k in range(21)), sum(7 << 9 * k for k in range(7))
 
 
-def normalised(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[\s ]+", " "))
+def plain(text: Column) -> Column:
+    """Lower case, with spaces for other white space within a line and for no-break spaces."""
+    for blank in ("\t", "\r", "\x0b", "\x0c", "\u00a0"):
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.lower(text)
 
 
-def with_simhash(lines: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """(keys, _bits) of lines that ``keys`` tell apart: 63 majority bits over the words' hashes.
+def words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " "), "")
 
-    The 63 counters are 21-bit lanes of 21 longs, which a hash aggregation sums
-    up, mostly before the shuffle: a line's words are in one task.
+
+def simhash(hashes: str) -> Column:
+    """The 63 majority bits of an array column of distinct 64-bit hashes; 0 for an empty one.
+
+    Counters are lanes of longs: 3 longs of 21 lanes count 7 words, 9 longs of
+    7 lanes sum up to 36 such. Longer arrays are counted by slices, whose lanes
+    are then unpacked.
+    """
+    longs = range(9)
+    thin = ", ".join("'g%d', %s" % (j, " + ".join(f"(shiftrightunsigned(c[{t}], {j}) & {_THIN}L)" for t in range(_FEW))) for j in range(3))
+    zero = "named_struct(" + ", ".join(f"'c{j}', 0L" for j in longs) + ")"
+    step = "named_struct(" + ", ".join(f"'c{j}', u.c{j} + (shiftrightunsigned(x.g{j % 3}, {j // 3 * 3}) & {_WIDE}L)" for j in longs) + ")"
+
+    def count(of: str, then: str) -> str:
+        sevens = f"transform(sequence(1, size({of}), {_FEW}), at -> slice(concat({of}, array_repeat(0L, {_FEW - 1})), at, {_FEW}))"
+        return f"aggregate(transform({sevens}, c -> named_struct({thin})), {zero}, (u, x) -> {step}, u -> {then})"
+
+    # what a lane lacks to its highest bit is added to it, so that bit says whether it counts over half
+    ones = sum(1 << 9 * k for k in range(7))
+    lack = f"(255 - size({hashes}) div 2) * {ones}L"
+    short = count(hashes, " | ".join(f"shiftleft(shiftrightunsigned(u.c{j} + {lack}, 8) & {ones}L, {j})" for j in longs))
+    lanes = "transform(sequence(0, 62), b -> shiftrightunsigned(array(" + ", ".join(f"u.c{j}" for j in longs) + ")[b % 9], 9 * cast(b div 9 as int)) & 511L)"
+    slices = f"transform(sequence(1, size({hashes}), {_MANY}), i -> slice({hashes}, i, {_MANY}))"
+    majority = f"aggregate(sequence(0, 62), 0L, (n, b) -> if(t[b] * 2 > size({hashes}), n | shiftleft(1L, b), n))"
+    long = f"aggregate({slices}, array_repeat(0L, 63), (t, part) -> zip_with(t, {count('part', lanes)}, (v, w) -> v + w), t -> {majority})"
+    return F.expr(f"case when size({hashes}) = 0 then 0L when size({hashes}) <= {_MANY} then {short} else {long} end")
+
+
+def segment_keys(hashes: str) -> list[Column]:
+    """Keys of the 8, 4 or 2 segments of an array column of word hashes, null for those that a line does not have.
+
+    A segment's size follows a scale of steps of a quarter, so that most lines with a word more or less have the same.
     """
-    split = F.split(line, " ")
-    word = F.explode(F.when(F.size(split) <= MOST_WORDS, split).otherwise(F.array(line)))
-    hashed = lines.select(*keys, word.alias("_word")).select(*keys, F.xxhash64("_word").alias("_h"))
-    ones = F.lit(1 | 1 << 21 | 1 << 42)
-    counted = hashed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(ones)).alias(f"_c{i}") for i in range(_LANES)])
-    # what a lane lacks to its highest bit is added to it, so that bit says whether it counts over half of the words
-    lack = (F.lit(MOST_WORDS) - F.floor(F.col("_n") / 2)) * ones
-    bits = F.lit(0).cast("long")
-    for i in range(_LANES):
-        bits = bits + F.shiftleft(F.shiftrightunsigned(F.col(f"_c{i}") + lack, 20).bitwiseAND(ones), i)
-    return counted.select(*keys, bits.alias("_bits"))
+    n = F.size(hashes)
+    scale = F.floor(F.pow(F.lit(1.25), F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.25)) + F.lit(1e-9)))).cast("int")
+    parts = F.when(scale >= 8 * SEGMENT, 8).when(scale >= 4 * SEGMENT, 4).otherwise(2)
+    size = F.floor(scale / parts).cast("int")
+    out = []
+    for i in range(4):
+        fits = (2 * i < parts) & (size >= SEGMENT)
+        for side, start in ((0, size * i + 1), (1, n - size * (i + 1) + 1)):
+            out.append(F.when(fits, F.xxhash64(F.lit(2 * i + side), size, F.slice(F.col(hashes), F.greatest(start, F.lit(1)), size))))
+    return out
 
 
 def _alike(p: str, q: str) -> Column:
@@ -83,14 +122,11 @@ def middles(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return now.select(*others, *[F.concat_ws("", F.transform(c, lambda w: F.concat(F.lit(" "), w))).alias(n) for c, n in zip(left, (x, y), strict=True)])
 
 
-def block_keys(bits: Column) -> Column:
-    """An array with a key for each choice of BLOCKS - DISTANCE blocks."""
+def block_keys(bits: Column) -> list[Column]:
+    """A key for each choice of BLOCKS - DISTANCE blocks."""
     edges = [63 * i // BLOCKS for i in range(BLOCKS + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    keys = []
-    for i, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE)):
-        keys.append(F.xxhash64(F.lit(i), bits.bitwiseAND(F.lit(sum(chosen)))))
-    return F.array(*keys)
+    return [F.xxhash64(F.lit(100 + i), bits.bitwiseAND(F.lit(sum(chosen)))) for i, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE))]
 
 
 def edits(length: Column, similarity: float) -> Column:
@@ -98,23 +134,15 @@ def edits(length: Column, similarity: float) -> Column:
     return F.floor(length * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)).cast("int")
 
 
-def pieces(lines: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The columns without _line, and _piece, twice: a line's edits + 1 pieces, and all runs that are as long as the pieces of a line like it that is no shorter.
-
-    Two lines of the similarity share one at least, from the longer's pieces to the other's runs.
-    """
-    size = lambda n: F.greatest(F.lit(1), F.floor(n / (edits(n, similarity) + 1)).cast("int"))
-    # characters as an array, as substring() counts them from the start of the line
-    others = [c for c in lines.columns if c != "_line"]
-    spelt = lines.select(*others, F.length("_line").alias("_n"), F.split("_line", "").alias("_chars"))
-    run = lambda at, n: F.xxhash64(n, F.concat_ws("", F.slice("_chars", at, n)))
-    cut = F.transform(F.sequence(F.lit(0), edits(F.col("_n"), similarity)), lambda i: run(i * F.col("_q") + 1, F.col("_q")))
-    own = spelt.withColumn("_q", size(F.col("_n"))).select(*others, F.explode(F.array_distinct(cut)).alias("_piece"))
-    longest = F.floor(F.col("_n") / F.lit(similarity) + F.lit(1e-6)).cast("int")
-    sizes = F.explode(F.array_distinct(F.transform(F.sequence(F.col("_n"), longest), size))).alias("_q")
-    sized = spelt.select("*", sizes).where("_q <= _n")
-    runs = F.transform(F.sequence(F.lit(1), F.col("_n") - F.col("_q") + 1), lambda i: run(i, F.col("_q")))
-    return own, sized.select(*others, F.explode(F.array_distinct(runs)).alias("_piece"))
+def described(texts: DataFrame, text: str) -> DataFrame:
+    """The other columns of texts, and for each line that is not blank _at, _sha, _len, _bits and _s0 to _s7, the segment keys."""
+    others = [c for c in texts.columns if c != text]
+    lines = texts.select(*others, F.posexplode(F.split(plain(F.col(text)), "\n")).alias("_at", "_raw")).where("trim(_raw) <> ''")
+    keys = [*others, "_at"]
+    split = lines.select(*keys, words(F.col("_raw")).alias("_words"))
+    split = split.select(*keys, F.array_join("_words", " ").alias("_line"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
+    split = split.select(*keys, F.unhex(F.substring(F.sha2("_line", 256), 1, 32)).alias("_sha"), F.length("_line").alias("_len"), "_hashes", F.array_distinct("_hashes").alias("_set"))
+    return split.select(*keys, "_sha", "_len", simhash("_set").alias("_bits"), *[k.alias(f"_s{i}") for i, k in enumerate(segment_keys("_hashes"))])
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -122,73 +150,73 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
 
     The three replace columns of those names. Lines end at ``\\n``. Occurrences
     are ordered by key, nulls last, then line number. Lines under ``min_chars``
-    characters once normalised stay. Null texts stay null with 0 lines, empty
-    ones have one line. Rows that repeat key and text are one document: they
-    lose the same lines. Rows of one key with different texts go by the text's
-    hash. No rows give no rows.
+    characters once normalised stay, and so do empty ones. Null texts stay null
+    with 0 lines, empty ones have one line. Lines and texts may have any length.
+    Rows that repeat key and text are one document: they lose the same lines.
+    Rows of one key with different texts go by the text's hash. No rows give no
+    rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("_doc"), F.xxhash64(text).alias("_name"), F.col(text).alias("_text"))
     texts = rows.where("_text is not null").select("_doc", "_name", "_text")
-    lines = texts.select("_doc", "_name", F.posexplode(F.split("_text", "\n")).alias("_at", "_line")).withColumn("_line", normalised(F.col("_line"))).where(F.length("_line") >= min_chars)
-    identity = F.unhex(F.substring(F.sha2("_line", 256), 1, 32))
-    seen = scratch.put(with_simhash(lines.withColumn("_sha", identity).withColumn("_len", F.length("_line")), ["_doc", "_name", "_at", "_sha", "_len"], "_line"), "lines")
+    segments = [f"_s{i}" for i in range(8)]
+    seen = scratch.put(described(texts, "_text"), "lines").where(F.col("_len") >= min_chars)
     place = F.struct("_doc", "_name", "_at")
-    distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_bits").alias("_bits"), F.min("_len").alias("_len"))
+    distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), *[F.max(c).alias(c) for c in ("_len", "_bits", *segments)])
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
+    facts = distinct.select("_cid", "_bits", "_len")
 
-    def alike(p: Column, q: Column) -> Column:
+    def near(p: str, q: str) -> Column:
         """What tells most pairs apart without their lines."""
-        close = F.abs(p["_len"] - q["_len"]) <= edits(F.greatest(p["_len"], q["_len"]), similarity)
-        return close & (F.bit_count(p["_bits"].bitwiseXOR(q["_bits"])) <= DISTANCE)
-
-    def line_of(asked: DataFrame, tag: str) -> DataFrame:
-        """(_cid, _line) of distinct _cid."""
-        at = asked.join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
-        wanted = at.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
-        holders = texts.join(wanted.hint("shuffle_hash"), ["_doc", "_name"])
-        split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
-        found = split.select(F.col("_w._cid").alias("_cid"), normalised(F.expr("_lines[_w._at]")).alias("_line")).groupBy("_cid").agg(F.max("_line").alias("_line"))
-        found = scratch.put(found, tag)
-        return found
-
-    def linked(pairs: DataFrame, found: DataFrame, tag: str) -> DataFrame:
-        """The pairs that edit similarity confirms."""
-        sides = pairs.join(found.select(F.col("_cid").alias("a"), F.col("_line").alias("_x")), "a").join(found.select(F.col("_cid").alias("b"), F.col("_line").alias("_y")), "b")
-        most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
-        # written, as a filter on what is left would be pushed below the steps that make it
-        left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), tag)
-        return left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b")
-
-    buckets = distinct.select(F.struct("_bits", "_cid", "_len").alias("_a"), F.explode(block_keys(F.col("_bits"))).alias("_key"))
-    bucket = Window.partitionBy("_key")
-    order = bucket.orderBy("_a")
-    near = buckets.select("_a", F.count(F.lit(1)).over(bucket).alias("_n"), F.first("_a").over(order).alias("_head"), F.collect_list("_a").over(order.rowsBetween(1, MOST - 1)).alias("_next")).where("_n > 1")
-    others = F.when(F.col("_n") <= MOST, F.col("_next")).otherwise(F.concat(F.array("_head"), F.slice("_next", 1, NEIGHBOURS)))
-    near = near.select((F.col("_n") > MOST).alias("_large"), "_a", F.filter(others, lambda o: (o["_cid"] != F.col("_a")["_cid"]) & alike(F.col("_a"), o)).alias("_others"))
-    near = scratch.put(near.where("_large or size(_others) > 0"), "near")
-    met = near.select("_a", F.explode("_others").alias("_b"))
-    pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "pairs")
-    found = line_of(pairs.select(F.explode(F.array("a", "b")).alias("_cid")).distinct(), "candidates")
-    links = scratch.put(linked(pairs, found, "middles"), "links")
+        close = F.abs(F.col(f"{p}_len") - F.col(f"{q}_len")) <= edits(F.greatest(f"{p}_len", f"{q}_len"), similarity)
+        return close & (F.bit_count(F.col(f"{p}_bits").bitwiseXOR(F.col(f"{q}_bits"))) <= FAR)
+
+    # buckets of two lines or more
+    met = distinct.select("_cid", F.explode(F.array_compact(F.array(*block_keys(F.col("_bits")), *segments))).alias("_key")).repartition("_key")
+    buckets = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_cid").alias("_lo"), F.max("_cid").alias("_hi")).where("_n > 1")
+    members = scratch.put(met.join(buckets.hint("shuffle_hash"), "_key"), "members")
+    hubs = members.select(F.col("_cid").alias("x"), F.explode(F.array("_lo", "_hi")).alias("y")).where("x <> y")
+    pairs = hubs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    side = lambda p: facts.select(F.col("_cid").alias(p), F.col("_bits").alias(f"{p}_bits"), F.col("_len").alias(f"{p}_len"))
+    pairs = scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b"), "pairs")
+
+    # the lines that are compared
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_cid")).union(members.where("_n > 3").select("_cid")).distinct()
+    at = wanted.join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
+    at = at.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
+    holders = texts.join(at.hint("shuffle_hash"), ["_doc", "_name"])
+    split = holders.select(F.split("_text", "\n").alias("_lines"), F.explode("_wanted").alias("_w"))
+    line = F.array_join(words(plain(F.expr("_lines[_w._at]"))), " ")
+    found = scratch.put(split.select(F.col("_w._cid").alias("_cid"), line.alias("_line")).dropDuplicates(["_cid"]), "compared")
+
+    sides = pairs.join(found.select(F.col("_cid").alias("a"), F.col("_line").alias("_x")), "a").join(found.select(F.col("_cid").alias("b"), F.col("_line").alias("_y")), "b")
+    most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
+    # written, as a filter on what is left would be pushed below the steps that make it
+    left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
+    links = scratch.put(left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b"), "links")
     groups = components(links, scratch, "groups")
-    large = near.where("_large").select("_a.*").distinct()
-    if not large.isEmpty():
-        # pairs of large buckets: those that are not connected yet
-        large = scratch.put(large.join(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid")), "large")
-        found = line_of(large.select("_cid"), "large-lines")
-        own, runs = pieces(found.join(large, "_cid").select("_line", F.struct("_cid", "_bits", "_len", "_group").alias("_a")), similarity)
-        met = own.join(runs.withColumnRenamed("_a", "_b"), "_piece").where((F.col("_a._group") != F.col("_b._group")) & (F.col("_a._len") >= F.col("_b._len")) & alike(F.col("_a"), F.col("_b")))
-        pairs = scratch.put(met.select(F.least("_a._cid", "_b._cid").alias("a"), F.greatest("_a._cid", "_b._cid").alias("b")).distinct(), "large-pairs")
-        groups = components(links.union(linked(pairs, found, "large-middles")), scratch, "all-groups")
-    groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "members")
-
-    of_line = distinct.join(groups, "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
+
+    # buckets whose lines are in several groups yet
+    grouped = members.where("_n > 3").select("_key", "_cid").join(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
+    grouped = scratch.put(grouped, "grouped")
+    apart = grouped.groupBy("_key").agg(F.min("_group").alias("_a"), F.max("_group").alias("_b")).where("_a < _b").select("_key")
+    open_lines = scratch.put(grouped.join(apart, "_key").join(facts, "_cid").join(found, "_cid"), "open")
+    if not open_lines.isEmpty():
+        one = open_lines.select("_key", *[F.col(c).alias(f"a{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
+        two = open_lines.select("_key", *[F.col(c).alias(f"b{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
+        alike = F.expr(f"levenshtein(a_line, b_line, cast(floor(greatest(a_len, b_len) * {round(1 - similarity, 6)}D + 1e-9D) as int)) >= 0")
+        same = (one["_key"] == two["_key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_group") != F.col("b_group")) & near("a", "b") & alike
+        more = one.hint("merge").join(two.hint("merge"), same).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
+        more = scratch.put(more, "more")
+        groups = components(links.union(more), scratch, "all-groups")
+    groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "joined")
+
+    of_line = distinct.select("_sha", "_cid", "_first", "_last").join(groups, "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
     keep = of_line.groupBy("_group").agg(F.min("_first").alias("_keep"), F.max("_last").alias("_end")).where("_keep < _end")  # the rest occur once
     keeper = scratch.put(of_line.join(keep, "_group").select("_sha", "_keep"), "keepers")
-    gone = seen.join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
+    gone = seen.select("_sha", "_doc", "_name", "_at").join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop("lines", "distinct", "near", "pairs", "candidates", "middles", "links", "large", "large-lines", "large-pairs", "large-middles", "members", "keepers")
+    scratch.drop("lines", "distinct", "members", "pairs", "compared", "middles", "links", "grouped", "open", "more", "joined", "keepers")
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     joined = rows.select("_row", "_text", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")

@@ -21,7 +21,7 @@ def test_lines(make):
         for i, x in enumerate(lines):
             plain = " ".join(x.lower().split())
             plain = long.lower() if plain == near.lower() else plain
-            if len(plain) >= 20:
+            if plain:
                 gone += [i] if plain in seen else []
                 seen.add(plain)
         want[key, "\n".join(x for i, x in enumerate(lines) if i not in gone)] = (len(lines), gone)
@@ -29,70 +29,107 @@ def test_lines(make):
     assert line_dedup.line_dedup(make([])).count() == 0
 
 
-def test_fuzzy_groups_follow_simhash_and_edits(make, spark):
-    """Every pair within DISTANCE bits and SIMILARITY is in one group; only such links make groups."""
+def _described(spark, lines):
+    """(bits, keys) of each line, as the operator has them."""
+    from pyspark.sql import functions as F
+
+    frame = line_dedup.described(spark.createDataFrame(list(enumerate(lines)), "i int, x string"), "x")
+    keys = F.array_compact(F.array(*line_dedup.block_keys(F.col("_bits")), *[f"_s{j}" for j in range(8)]))
+    found = {r["i"]: r for r in frame.select("i", "_bits", keys.alias("keys")).collect()}
+    return [(found[i]["_bits"], set(found[i]["keys"])) for i in range(len(lines))]
+
+
+def _similar(a, b):
+    return abs(len(a) - len(b)) <= max(len(a), len(b)) * 0.1 and brute.edit_distance(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9)
+
+
+def _groups_by_force(spark, lines):
+    """Groups by all pairs that meet, differ in FAR bits at most and are similar."""
+    of = _described(spark, lines)
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if of[i][1] & of[j][1] and (of[i][0] ^ of[j][0]).bit_count() <= line_dedup.FAR and _similar(lines[i], lines[j])]
+    return links, brute.groups(links, len(lines))
+
+
+def _kept(make, lines):
+    return {r["doc_id"] for r in line_dedup.line_dedup(make(list(enumerate(lines)))).collect() if not r["n_removed"]}
+
+
+def test_fuzzy_groups_follow_keys_and_edits(make, spark):
+    """Every pair that meets and is similar is in one group; only such links make groups."""
     rng = random.Random(2)
-    base = [[f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(15)]
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(rng.choice([7, 20, 60]))] for _ in range(20)]
     lines = []
     for b in base:
         for _ in range(4):
             own = list(b)
             if rng.random() < 0.7:
-                own[rng.randrange(60)] += rng.choice(["s", "x", ""])
+                own[rng.randrange(len(own))] += rng.choice(["s", "x", ""])
+            if rng.random() < 0.2:
+                own.insert(rng.randrange(len(own)), "y")
             lines.append(" ".join(own))
     lines = sorted(set(lines))
     rng.shuffle(lines)
-    frame = spark.createDataFrame(list(enumerate(lines)), "i int, x string")
-    bits = [r["_bits"] for r in line_dedup.with_simhash(frame, ["i"], "x").orderBy("i").collect()]
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= line_dedup.DISTANCE and brute.edit_distance(lines[i], lines[j]) <= int(max(len(lines[i]), len(lines[j])) * 0.1)]
+    links, groups = _groups_by_force(spark, lines)
     assert links
-    kept = {min(g) for g in brute.groups(links, len(lines))}
-    got = line_dedup.line_dedup(make(list(enumerate(lines)))).collect()
-    assert {r["doc_id"] for r in got if not r["n_removed"]} == kept
+    assert _kept(make, lines) == {min(g) for g in groups}
 
 
-def test_pairs_of_large_buckets(make, spark):
-    """Lines in which one word prevails share their buckets; near copies among them are found wherever they stand."""
+def test_families_that_share_buckets(make, spark):
+    """50 lines around each of several templates, some of them alike only through others: all of a bucket's pairs count."""
     rng = random.Random(7)
-    cells = lambda: [f"c{rng.randrange(10**6)}" for _ in range(6)]
-    tables = [cells() for _ in range(200)]
-    for i in range(60):
-        own = list(tables[i])
-        own[rng.randrange(6)] += "s"
-        tables.append(own)
-    lines = sorted({" | | ".join(["|", *t, "|"]) for t in tables})
+    lines = []
+    for _ in range(4):
+        template = [f"t{rng.randrange(10**6)}" for _ in range(24)]
+        for _ in range(50):
+            own = list(template)
+            for at in rng.sample(range(6, 24), rng.choice([1, 2, 3, 5, 8])):
+                own[at] = f"v{rng.randrange(12)}"
+            lines.append(" ".join(own))
+    lines = sorted(set(lines))
     rng.shuffle(lines)
-    bits = [r["_bits"] for r in line_dedup.with_simhash(spark.createDataFrame(list(enumerate(lines)), "i int, x string"), ["i"], "x").collect()]
-    assert len(set(bits)) == 1 and len(lines) > line_dedup.MOST
-    links = [(i, j) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) < 7 and len(set(lines[i].split()) ^ set(lines[j].split())) < 6 and brute.edit_distance(lines[i], lines[j]) <= int(max(len(lines[i]), len(lines[j])) * 0.1)]
-    assert len(links) >= 60
-    got = line_dedup.line_dedup(make(list(enumerate(lines)))).collect()
-    assert {r["doc_id"] for r in got if not r["n_removed"]} == {min(g) for g in brute.groups(links, len(lines))}
+    links, groups = _groups_by_force(spark, lines)
+    assert len(links) > 300 and any(len(g) > 8 for g in groups) and len(groups) > 8
+    assert _kept(make, lines) == {min(g) for g in groups}
 
 
-@pytest.mark.parametrize("similarity", [0.9, 0.7])
-def test_pieces_are_lossless(spark, similarity):
+def test_one_word_set_in_many_orders(make, spark):
+    """Lines with equal SimHashes and few similar pairs."""
     rng = random.Random(8)
-    rows = []
-    for i in range(0, 400, 2):
-        a = [rng.choice("ab cé") for _ in range(rng.randrange(1, 120))]
-        b = list(a)
-        for _ in range(rng.randrange(1 + len(a) // 6)):
-            at = rng.randrange(len(b) + 1)
-            b[at : at + rng.randrange(2)] = rng.choice(["", "x", "y"])
-        rows += [(i, "".join(a)), (i + 1, "".join(b) or "z")]
-    own, runs = line_dedup.pieces(spark.createDataFrame(rows, "_cid long, _line string"), similarity)
-    held = [{i: set() for i, _ in rows} for _ in range(2)]
-    for side, frame in zip(held, (own, runs), strict=True):
-        for r in frame.collect():
-            side[r["_cid"]].add(r["_piece"])
-    alike = 0
-    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
-        (i, a), (j, b) = sorted([(i, a), (j, b)], key=lambda x: -len(x[1]))
-        if brute.edit_distance(a, b) <= int(len(a) * round(1 - similarity, 6) + 1e-9):
-            alike += 1
-            assert held[0][i] & held[1][j], (a, b)
-    assert alike > 50
+    names = [f"n{rng.randrange(10**6)}" for _ in range(9)]
+    lines = []
+    for _ in range(40):
+        own = rng.sample(names, 9)
+        lines += [" ".join(own), " ".join([*own[:-1], own[-1] + "s"])]
+    lines = sorted(set(lines))
+    links, groups = _groups_by_force(spark, lines)
+    assert links and len(groups) >= 30
+    assert _kept(make, lines) == {min(g) for g in groups}
+
+
+def test_words_that_prevail_do_not_decide(spark):
+    """Table rows without a word in common but their bars have different hashes."""
+    rng = random.Random(9)
+    rows = [" | ".join(f"c{rng.randrange(10**6)}" for _ in range(6)) for _ in range(200)]
+    bits = [b for b, _ in _described(spark, rows)]
+    assert len(set(bits)) == 200
+
+
+def test_recall_against_edit_similarity(spark):
+    """Of pairs with edit similarity 0.9, the share that meets: changed, added and dropped words in lines of 12 to 100 words."""
+    rng = random.Random(10)
+    pairs = []
+    for _ in range(300):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(12, 100))]
+        own = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 14))):
+            at, kind = rng.randrange(len(own)), rng.random()
+            own[at : at + (kind < 0.8)] = ["".join(rng.choice("abcdefghij") for _ in range(5))] if kind < 0.9 else []
+        a, b = " ".join(words), " ".join(own)
+        if a != b and _similar(a, b):
+            pairs.append((a, b))
+    of = _described(spark, [x for p in pairs for x in p])
+    met = sum(bool(of[2 * i][1] & of[2 * i + 1][1]) and (of[2 * i][0] ^ of[2 * i + 1][0]).bit_count() <= line_dedup.FAR for i in range(len(pairs)))
+    assert len(pairs) > 200 and met >= 0.9 * len(pairs)
 
 
 def test_middles_keep_the_edit_distance(spark):
@@ -112,37 +149,120 @@ def test_middles_keep_the_edit_distance(spark):
         assert r["d"] == brute.edit_distance(*pairs[r["i"]])
 
 
-def test_simhash_by_hand(spark, monkeypatch):
-    from pyspark.sql import functions as F
+def test_simhash_by_hand(spark):
+    """Majority bits of distinct words: few, more than a lane counts, and more than a slice holds."""
+    import xxhash
+
+    rng = random.Random(11)
+    lines = [" ".join(f"w{rng.randrange(10**7)}" for _ in range(n)) for n in (1, 2, 3, 6, 7, 8, 15, 251, 252, 253, 600, 5000)] + ["alpha " * 69_999 + "beta"]
+    got = _described(spark, lines)
+    for line, (bits, _) in zip(lines, got, strict=True):
+        hashes = {xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split()}
+        assert bits == sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
-    words = ["alpha", "beta", "gamma"]
-    hashes = [spark.range(1).select(F.xxhash64(F.lit(w))).first()[0] & (2**64 - 1) for w in words]
-    want = sum(1 << b for b in range(63) if 2 * sum(h >> b & 1 for h in hashes) > 3)
-    frame = spark.createDataFrame([(1, " ".join(words)), (2, "alpha " * 69_999 + "alpha")], "i int, x string")
-    got = {r["i"]: r["_bits"] for r in line_dedup.with_simhash(frame, ["i"], "x").collect()}
-    assert got == {1: want, 2: hashes[0] & (2**63 - 1)}
-    monkeypatch.setattr(line_dedup, "MOST_WORDS", 2)
-    assert line_dedup.with_simhash(frame, ["i"], "x").count() == 2
 
+def test_lines_with_clashing_columns_nulls_and_ties(spark):
+    """Columns of the operator's own names, null keys, rows repeated exactly, a very long line; each has its stated result."""
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(5, "a b\nc", "x", 1, 2, 3.0), (5, "a b\nc", "x", 1, 2, 3.0), (None, "a b", "y", None, None, None), (7, long, "", 0, 0, 0.0), (8, long + " more", "", 0, 0, 0.0), (9, None, None, 1, 1, 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string, n_lines int, _doc int, _key double")
+    out = line_dedup.line_dedup(docs)
+    assert sorted(out.columns) == sorted([*docs.columns, "n_removed", "removed"])
+    got = sorted(((r["doc_id"], r["text"], r["n_lines"], list(r["removed"])) for r in out.collect()), key=str)
+    assert got == sorted([(5, "a b\nc", 2, []), (5, "a b\nc", 2, []), (None, "", 1, [0]), (7, long, 1, []), (8, "", 1, [0]), (9, None, 0, [])], key=str)
 
-def test_fingerprints(make):
+
+def _signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def _prints_by_force(rows, low, high):
+    """{(key, text): (edited digest, fingerprint, edited fingerprint, near_edited, near_next)}"""
+    import math
+    import re
+    import struct
+
+    import xxhash
+
+    def of_long(v, seed):
+        return xxhash.xxh64_intdigest(struct.pack("<q", v), seed % 2**64)
+
+    def of_int(v, seed):
+        return xxhash.xxh64_intdigest(struct.pack("<i", v), seed % 2**64)
+
+    def terms(text):
+        return {_signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in re.split(r"[^\w]|_", text.lower()) if w}
+
+    df = {}
+    for _, text in rows:
+        for t in terms(text or ""):
+            df[t] = df.get(t, 0) + 1
+    words = {t for t, n in df.items() if max(2, low * len(rows)) <= n <= high * len(rows)}
+
+    def depth(t, s):
+        h = of_int(s, of_long(t, 42)) & (2**31 - 1)
+        return 31 if h == 0 else (h & -h).bit_length() - 1
+
+    def printed(text):
+        own = sorted(terms(text) & words)
+        first = max(0, int(math.log2(len(own))) - imatch.DENSER) if own else 0
+        out = []
+        for s in range(imatch.SUBSETS):
+            for level in range(first, first + imatch.LEVELS):
+                h, some = 42, False
+                for t in own:
+                    if depth(t, s) > level:
+                        h, some = of_long(t, h), True
+                out.append(f"{h & 65535:04x}" if some else "....")
+        bare = f"{xxhash.xxh64_intdigest(text.encode(), 42):016x}"
+        return first, out, f"{first:02d}" + "".join(out) if own else bare
+
+    def likeness(p, q):
+        if p[2] == q[2]:
+            return 1.0
+        some = equal = 0
+        for level in range(max(p[0], q[0]), min(p[0], q[0]) + imatch.LEVELS):
+            a = [p[1][s * imatch.LEVELS + level - p[0]] for s in range(imatch.SUBSETS)]
+            b = [q[1][s * imatch.LEVELS + level - q[0]] for s in range(imatch.SUBSETS)]
+            here = [(x, y) for x, y in zip(a, b) if (x, y) != ("....", "....")]
+            same = sum(x == y for x, y in here)
+            some, equal = (len(here), same) if 2 * len(here) >= imatch.SUBSETS else (some + len(here), equal + same)
+        return equal / some if some else 0.0
+
+    name = lambda key, text: _signed(xxhash.xxh64_intdigest(b"\x01\0\0\0" if key is None else b"\0\0\0\0", xxhash.xxh64_intdigest(text.encode(), 42)))
+    ordered = sorted({(k, t or "") for k, t in rows}, key=lambda r: (r[0] is None, r[0] or 0, name(*r)))
+    out = {}
+    for i, (key, text) in enumerate(ordered):
+        after = ordered[(i + 1) % len(ordered)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, other, following = printed(text), printed(edited), printed(after)
+        out[key, text] = (hashlib.sha256(edited.encode()).hexdigest(), own[2], other[2], likeness(own, other), likeness(own, following))
+    return out
+
+
+def test_fingerprints_by_force(make, monkeypatch):
+    """Digests, fingerprints and likeness of every row: ids over the whole range of longs, null and repeated ids, ties, empty texts, texts without lexicon terms, short and long ones."""
+    monkeypatch.setattr(imatch, "LOW", 0.0)
     rng = random.Random(3)
     vocabulary = [f"term{i}" for i in range(3000)]
-    rows = [(i * 7, " ".join(rng.choices(vocabulary, k=rng.choice([40, 150, 400])))) for i in range(60)]
-    rows += [(500, rows[5][1]), (501, None), (502, ""), (503, "?!"), (504, "été" * 3), (505, "one two"), (505, "one two")]
+    rows = [(i * 7, " ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 9, 40, 150, 400, 2500])))) for i in range(60)]
+    rows += [(500, rows[5][1]), (501, None), (502, ""), (503, "?!"), (504, "été" * 3), (505, "one two"), (505, "one two"), (505, rows[7][1])]
+    rows += [(-(2**63), rows[9][1] + " end"), (2**63 - 1, "term1 term2"), (None, "term1 term2"), (None, rows[11][1]), (None, None)]
     got = imatch.fingerprints(make(rows)).collect()
-    ordered = sorted(rows, key=lambda r: r[0])
-    want = []
-    for i, (key, text) in enumerate(ordered):
-        text, after = text or "", ordered[(i + 1) % len(ordered)][1] or ""
-        cut = len(text) // 4
-        want.append((key, len(text), hashlib.sha256((text[: len(text) - cut] + after[:cut]).encode()).hexdigest()))
-    assert sorted((r["doc_id"], r["n_chars"], r["edited"]) for r in got) == sorted(want)
+    want = _prints_by_force(rows, imatch.LOW, imatch.HIGH)
+    assert len(got) == len(rows)
+    texts = {(k, v[0]): t for (k, t), v in want.items()}
+    for r in got:
+        text = texts[r["doc_id"], r["edited"]]
+        assert r["n_chars"] == len(text)
+        found = (r["edited"], r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"])
+        assert found[:3] == want[r["doc_id"], text][:3]
+        assert found[3:] == pytest.approx(want[r["doc_id"], text][3:])
+    assert {(k, t or "") for k, t in rows} == {(r["doc_id"], texts[r["doc_id"], r["edited"]]) for r in got}
     of = {r["doc_id"]: r for r in got}
     assert of[35]["fingerprint"] == of[500]["fingerprint"]
-    assert of[505]["near_next"] == 1.0 or len([r for r in got if r["doc_id"] == 505]) == 2
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    usual = [r for r in got if r["doc_id"] < 420]
+    usual = [r for r in got if (r["doc_id"] or -1) in range(420)]
     assert sum(r["near_edited"] for r in usual) > 3 * sum(r["near_next"] for r in usual)
     assert of[502]["fingerprint"] == of[501]["fingerprint"] != of[503]["fingerprint"]
     assert imatch.fingerprints(make([])).count() == 0
@@ -150,7 +270,13 @@ def test_fingerprints(make):
     assert alone["edited"] == hashlib.sha256(b"abcdefab").hexdigest()
 
 
-@pytest.mark.parametrize("rows", [[(1, "a b")], [(None, "a"), (None, None)], [(-5, "x"), (10**12, "y"), (3, "z")]])
-def test_neighbours_across_buckets(make, rows):
+@pytest.mark.parametrize("rows", [[(1, "a b")], [(None, "a"), (None, None)], [(-5, "x"), (10**12, "y"), (3, "z")], [(-(2**63), "p"), (0, "q"), (2**63 - 1, "r")]])
+def test_neighbours_of_few_rows(make, rows):
     got = imatch.fingerprints(make(rows)).collect()
-    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["edited"]) for r in got} == {(k, v[0]) for (k, _), v in _prints_by_force(rows, 0, 1).items()}
+
+
+def test_fingerprints_beside_clashing_columns(spark):
+    rows = [(1, "one two three", 5, "x"), (2, "one two four", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int, k1 string")
+    assert sorted(r["n_chars"] for r in imatch.fingerprints(docs).collect()) == [12, 13]
