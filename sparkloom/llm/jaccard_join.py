@@ -8,12 +8,14 @@
 3. Of the rest, n-grams are ordered by document frequency, rarest first. Two
    sets of similarity t share one of their first |x| - ceil(t |x|) + 1 n-grams;
    classes that do form candidate groups (connected components).
-4. A group's n-grams, in their global order, are cut into fragments again.
-   Each fragment's partial overlaps are counted separately and summed per pair. Large groups are cut into blocks of classes, and a
-   task holds two blocks.
-
-Every pair of a group is tested, none is emitted: a task returns each class's
-number of links and a spanning forest of them.
+4. A group's n-grams, in their global order, are cut into fragments of some
+   ``FRAGMENT_GRAMS``, and its classes into blocks. A task gets one fragment of
+   two blocks and counts the partial overlaps of their pairs, as a matrix; a
+   second shuffle, by pair of blocks, sums the fragments' matrices.
+
+Every pair of a group is tested, none is emitted: what leaves the sums is each
+class's number of links and a spanning forest of them. To count links exactly,
+a class meets each block of its group, so its n-grams are sent once per block.
 """
 
 from __future__ import annotations
@@ -31,8 +33,8 @@ from sparkloom.llm.scratch import Scratch
 
 #: Classes, and n-grams, that a block holds at most (about).
 BLOCK_CLASSES, BLOCK_GRAMS = 512, 2_000_000
-#: n-grams of a fragment: columns of a task's incidence matrix.
-FRAGMENT = 2048
+#: n-grams of a group, or of two blocks of it, in a fragment (about), and columns of a task's incidence matrix.
+FRAGMENT_GRAMS, COLUMNS = 250_000, 2048
 
 
 def gram_sets(data: np.ndarray, off: np.ndarray, width: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +150,7 @@ def _signed_fragments(docs: DataFrame, text: str, width: int, lower: bool, num:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.utf8(batch.column(0))
-            for _, _, part, at in K.chunks(data, off, 4 * K.CHUNK):
+            for _, _, part, at in K.chunks(data, off, 16 * K.CHUNK):
                 marks, names = [], []
                 for _, _, piece, cut in K.chunks(part, at):
                     values, first = gram_sets(piece, cut, width, lower)
@@ -208,8 +210,8 @@ def _grams(texts: DataFrame, width: int, lower: bool) -> DataFrame:
     return texts.select("cid", "h1", "h2", "text").mapInArrow(run, "cid long, gram long")
 
 
-def overlaps(left: list[np.ndarray], right: list[np.ndarray], fragment: int = FRAGMENT) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set: partial counts of each fragment of the n-gram order, summed."""
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = COLUMNS) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set."""
     m, sizes = len(left), [len(x) for x in (*left, *right)]
     every = np.concatenate([*left, *right])
     owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -220,9 +222,9 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], fragment: int = FR
     total = np.zeros((m, len(right)), np.int64)
     order = np.argsort(rank, kind="stable")
     rank, owner = rank[order], owner[order]
-    for base in range(0, int(rank[-1]) + 1 if len(rank) else 0, fragment):
-        lo, hi = np.searchsorted(rank, [base, base + fragment])
-        cells = np.zeros((len(sizes), fragment), np.float32)
+    for base in range(0, int(rank[-1]) + 1 if len(rank) else 0, columns):
+        lo, hi = np.searchsorted(rank, [base, base + columns])
+        cells = np.zeros((len(sizes), min(columns, int(rank[-1]) + 1 - base)), np.float32)
         cells[owner[lo:hi], rank[lo:hi] - base] = 1
         total += (cells[:m] @ cells[m:].T).astype(np.int64)
     return total
@@ -245,37 +247,128 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _links(blocks: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b, links): forest edges, and with null b a class's number of linked documents, from pairs of blocks."""
-
-    def run(group: pa.Table) -> pa.Table:
-        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-        block, cid, size, members = (group.column(x).to_numpy() for x in ("block", "cid", "n", "members"))
-        sets = [np.frombuffer(x.as_buffer(), np.int64) for x in group.column("grams")]
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        shared = overlaps([sets[x] for x in left], [sets[x] for x in right])
-        linked = (shared > 0) & (shared * (num + den) >= num * (size[left][:, None] + size[right][None, :]))
-        a, b, links = [], [], []
-        if i == j:
-            np.fill_diagonal(linked, False)
-            edges = [(left[v], left[w]) for v, w in forest(linked)]
-            counted = [(left, linked @ members[left])]
-        else:
-            m = len(left)
-            both = np.zeros((m + len(right),) * 2, bool)
-            both[:m, m:], both[m:, :m] = linked, linked.T
-            where = np.concatenate([left, right])
-            edges = [(where[v], where[w]) for v, w in forest(both)]
-            counted = [(left, linked @ members[right]), (right, linked.T @ members[left])]
-        for v, w in edges:
-            a.append(cid[v]), b.append(cid[w]), links.append(None)
-        for rows, n in counted:
-            for v in np.flatnonzero(n):
-                a.append(cid[rows[v]]), b.append(None), links.append(n[v])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(links, pa.int64())})
-
-    # dealt out by pair of blocks; by group alone, one task would get all pairs of a large group
-    return blocks.repartition("label", "i", "j").groupBy("label", "i", "j").applyInArrow(run, "a long, b long, links long")
+def groups_of(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each combination of the first ``keys`` columns, longs, in which partitions are sorted."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        if batch.num_rows:
+            new[0] = last is not None and last != tuple(int(c[0]) for c in columns)
+            last = tuple(int(c[-1]) for c in columns)
+        begin = 0
+        for at in np.flatnonzero(new):
+            held.append(batch.slice(begin, at - begin))
+            yield pa.Table.from_batches(held)
+            held, begin = [], int(at)
+        held.append(batch.slice(begin))
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held)
+
+
+_DEALT = "label long, i long, j long, fragment long, block long, cid long, n long, members long, grams binary"
+
+
+def _dealt(classes: DataFrame) -> DataFrame:
+    """Each class's part of every fragment, once for each block that its own one meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _DEALT.split(", ")]
+        for batch in batches:
+            rows: list[tuple] = []
+            size = 0
+            for label, block, blocks, fragments, cid, n, members, raw in zip(*(batch.column(x).to_pylist() for x in ("label", "block", "blocks", "fragments", "cid", "n", "members", "grams")), strict=True):
+                grams = np.frombuffer(raw, np.int64)
+                part = (grams.view(K.U) >> K.U(32)) * K.U(fragments) >> K.U(32)
+                for f in range(fragments):
+                    own = raw if fragments == 1 else grams[part == f].tobytes()
+                    for other in range(blocks):
+                        rows.append((label, min(block, other), max(block, other), f, block, cid, n, members, own))
+                        size += len(own) + 64
+                    if size > 4 << 20:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+                        rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+
+    return classes.select("label", "block", "blocks", "fragments", "cid", "n", "members", "grams").mapInArrow(run, _DEALT)
+
+
+_PARTIAL = "label long, i long, j long, fragment long, counts binary, facts binary"
+
+
+def partial_overlaps(dealt: DataFrame) -> DataFrame:
+    """A matrix (32-bit) of the pairs' overlaps in one fragment for each pair of blocks; facts: (cid, n, members) of the left classes, then of the right ones, after the number of the left ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _PARTIAL.split(", ")]
+        rows: list[tuple] = []
+        size = 0
+        for group in groups_of(batches, 4):
+            label, i, j, f = (group.column(c)[0].as_py() for c in range(4))
+            block, cid, n, members = (group.column(x).to_numpy() for x in ("block", "cid", "n", "members"))
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in group.column("grams")]
+            sides = []
+            for own in (i, j):  # in the same order in every fragment
+                at = np.flatnonzero(block == own)
+                sides.append(at[np.argsort(cid[at], kind="stable")])
+            counts = overlaps(*([sets[x] for x in side] for side in sides)).astype("<u4").tobytes()
+            facts = np.concatenate([[len(sides[0])], *(np.stack([cid[x], n[x], members[x]], 1).ravel() for x in sides)]).astype("<i8").tobytes() if f == 0 else None
+            rows.append((label, i, j, f, counts, facts))
+            size += len(counts)
+            if size > 4 << 20 or len(rows) >= 4096:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:4]), *(pa.array(x, pa.binary()) for x in list(zip(*rows, strict=True))[4:])], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in list(zip(*rows, strict=True))[:4]), *(pa.array(x, pa.binary()) for x in list(zip(*rows, strict=True))[4:])], names)
+
+    # dealt out by fragment and pair of blocks: by group alone, one task would get all pairs of a large one
+    return dealt.repartition("label", "i", "j", "fragment").sortWithinPartitions("label", "i", "j", "fragment").mapInArrow(run, _PARTIAL)
+
+
+def summed_links(partial: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, links): forest edges, and with null b a class's number of linked documents, by the sums of the fragments' matrices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        links: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            heads, tails, numbers = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b, links))
+            a.clear(), b.clear(), links.clear()
+            return pa.RecordBatch.from_arrays([pa.array(heads), pa.array(tails, mask=numbers > 0), pa.array(numbers, mask=numbers == 0)], ["a", "b", "links"])
+
+        for group in groups_of(batches, 3):
+            facts = np.frombuffer(next(x for x in group.column("facts").to_pylist() if x is not None), "<i8")
+            m, facts = int(facts[0]), facts[1:].reshape(-1, 3)
+            cid, size, members = facts[:, 0], facts[:, 1], facts[:, 2]
+            shared = sum(np.frombuffer(x.as_buffer(), "<u4").astype(np.int64) for x in group.column("counts")).reshape(m, -1)
+            i, j = (group.column(x)[0].as_py() for x in ("i", "j"))
+            linked = (shared > 0) & (shared * (num + den) >= num * (size[:m][:, None] + size[m:][None, :]))
+            if i == j:
+                np.fill_diagonal(linked, False)
+                edges = forest(linked)
+                counted = [(cid[:m], linked @ members[:m])]
+            else:
+                both = np.zeros((len(cid),) * 2, bool)
+                both[:m, m:], both[m:, :m] = linked, linked.T
+                edges = forest(both)
+                counted = [(cid[:m], linked @ members[m:]), (cid[m:], linked.T @ members[:m])]
+            if edges:
+                v, w = np.array(edges, np.int64).T
+                a.append(cid[v]), b.append(cid[w]), links.append(np.zeros(len(v), np.int64))
+            for own, number in counted:
+                some = np.flatnonzero(number)
+                a.append(own[some]), b.append(np.zeros(len(some), np.int64)), links.append(number[some])
+            if len(a) > 4096:
+                yield sent()
+        yield sent()
+
+    return partial.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j", "fragment").mapInArrow(run, "a long, b long, links long")
 
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 4, den: int = 5, lower: bool = True) -> DataFrame:
@@ -308,10 +401,11 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     label = scratch.put(label, "labels")
     grouped = packed.join(label, "cid").join(classes.select("cid", "members"), "cid")
     weight = grouped.groupBy("label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("g"))
-    weight = weight.select("label", F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("g") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    placed = grouped.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "n", "members", "grams")
-    found = scratch.put(_links(paired, num, den), "links")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK_CLASSES), F.ceil(F.col("g") / BLOCK_GRAMS))
+    weight = weight.select("label", blocks.cast("long").alias("blocks"), F.ceil(F.least(F.col("g"), F.lit(2 * BLOCK_GRAMS)) / FRAGMENT_GRAMS).cast("long").alias("fragments"))
+    placed = grouped.join(weight, "label").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")))
+    partial = scratch.put(partial_overlaps(_dealt(placed)), "partial")
+    found = scratch.put(summed_links(partial, num, den), "links")
     merged = components(found.where("b is not null").select("a", "b"), scratch, "merged")
     merged = scratch.put(merged.select(F.col("node").alias("cid"), F.col("component").alias("joint")), "joints")
     counts = found.where("b is null").groupBy("a").agg(F.sum("links").alias("more")).withColumnRenamed("a", "cid")
@@ -319,7 +413,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     least = of_class.groupBy("joint").agg(F.min("rep").alias("component_id"))
     answer = of_class.join(least, "joint").select("h1", "h2", "n", "component_id", (F.col("members") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
     answer = scratch.put(answer, "answer")
-    scratch.drop("packed", "labels", "links", "joints", "company", "classes")
+    scratch.drop("packed", "labels", "partial", "links", "joints", "company", "classes")
     return sets.join(answer, ["h1", "h2", "n"], "left").select(
         F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("key")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )

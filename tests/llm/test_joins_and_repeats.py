@@ -37,7 +37,10 @@ def test_join_matches_all_pairs(make, width, num, den, seed):
 
 
 def test_join_of_large_groups_in_blocks(make, monkeypatch):
+    """Several blocks, fragments and stretches of columns: partial overlaps of every pair are summed."""
     monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", 8)
+    monkeypatch.setattr(jaccard_join, "FRAGMENT_GRAMS", 700)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 16)
     rng = random.Random(5)
     base = words(rng, 120)
     rows = [(i, " ".join(edited(rng, base, 0.012))) for i in range(40)]
