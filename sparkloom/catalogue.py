@@ -41,4 +41,4 @@ def sql_query(name: str, text: str, oracle: str | None = None, tables: tuple[str
     ORACLE_SQL[name] = oracle or bare
 
 
-from sparkloom.plans import queries_engine, queries_relational, queries_scalar  # noqa: E402, F401
+from sparkloom.plans import queries_dialect, queries_engine, queries_relational, queries_scalar  # noqa: E402, F401

@@ -126,11 +126,71 @@ def test_reopen_garbage_stats(db, spark):
     (__import__("pathlib").Path(db.path) / "tables/t/half-written").mkdir()
     with Database(db.path, spark) as again:
         assert rows(again, "SELECT a FROM t ORDER BY a") == [[1], [2]]
-        assert again.checkpoint() >= 2
+        assert again.checkpoint() == 0  # all of it is young
+        again.execute("UPDATE t SET a = a + 1")
+        assert again.checkpoint(keep_s=0) == 3  # the half-written folder, and those of two inserts
         assert rows(again, "SELECT COUNT(*) FROM t") == [[2]]
         assert again.get_stats()["table_versions"] == 1
 
 
+def test_garbage_spares_readers_elsewhere(db, spark):
+    """A lazy frame, and another object's open transaction, outlive later writes and a checkpoint."""
+    db.execute("CREATE TABLE t (a INTEGER); INSERT INTO t VALUES (1), (2)")
+    lazy = db.query("SELECT a FROM t ORDER BY a")
+    with Database(db.path, spark) as other:
+        other.execute("BEGIN")
+        db.execute("DELETE FROM t WHERE a = 1; UPDATE t SET a = 7")
+        db.checkpoint()
+        assert [r[0] for r in lazy.collect()] == [1, 2]
+        assert rows(other, "SELECT a FROM t ORDER BY a") == [[1], [2]]
+        other.execute("ROLLBACK")
+    assert rows(db, "SELECT a FROM t") == [[7]]
+
+
+def test_inserts_add_folders_and_do_not_read_old_rows(db, spark, monkeypatch):
+    from sparkloom.sources import store
+
+    monkeypatch.setattr(store, "MOST_FOLDERS", 3)
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY AUTOINCREMENT, name TEXT UNIQUE)")
+    for n in range(5):
+        db.execute(f"INSERT INTO t (name) VALUES ('a{n}'), ('b{n}')")
+        if n == 1:
+            assert len(db.store.latest()[1]["t"]["paths"]) == 2
+    assert len(db.store.latest()[1]["t"]["paths"]) <= 3
+    assert rows(db, "SELECT id FROM t ORDER BY id") == [[i] for i in range(1, 11)]
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO t (name) VALUES ('a0')")
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO t (name) VALUES ('new'), ('new')")
+    assert rows(db, "SELECT count(*) FROM t") == [[10]]
+
+
+def test_parents_of_rows_cannot_go(db, spark):
+    db.execute("CREATE TABLE p (id INTEGER PRIMARY KEY); CREATE TABLE c (id INTEGER, p INTEGER REFERENCES p(id), up INTEGER)")
+    db.execute("INSERT INTO p VALUES (1), (2), (3); INSERT INTO c VALUES (10, 1, NULL), (11, NULL, NULL)")
+    for sql in ("DELETE FROM p WHERE id = 1", "UPDATE p SET id = 5 WHERE id = 1", "DELETE FROM p"):
+        with pytest.raises(ConstraintError):
+            db.execute(sql)
+    db.execute("DELETE FROM p WHERE id = 2; UPDATE p SET id = 4 WHERE id = 3")
+    assert rows(db, "SELECT id FROM p ORDER BY id") == [[1], [4]]
+    # a key checked in one transaction and its parent deleted in another do not both commit
+    with Database(db.path, spark) as other:
+        db.execute("BEGIN; INSERT INTO c VALUES (12, 4, NULL)")
+        other.execute("DELETE FROM p WHERE id = 4")
+        with pytest.raises(ConflictError):
+            db.execute("COMMIT")
+    assert rows(db, "SELECT count(*) FROM c") == [[2]]
+
+
+def test_explain_of_every_statement(db):
+    db.execute("CREATE TABLE t (a INTEGER, b TEXT); INSERT INTO t VALUES (1, 'x')")
+    for sql, head in (("INSERT INTO t SELECT a + 1, b FROM t WHERE a > 0", "Insert into t"), ("INSERT INTO t (a) VALUES (5)", "Insert into t"), ("UPDATE t SET a = a + 1 WHERE b LIKE 'X'", "Update t"), ("DELETE FROM t WHERE a > 0", "Delete from t")):
+        text = db.explain(sql)
+        assert text.startswith(head) and "Physical Plan" in text
+    assert "Filter" in db.explain("DELETE FROM t WHERE a > 0")
+    assert rows(db, "SELECT a, b FROM t") == [[1, "x"]]
+
+
 def test_result_table(db):
     text = db.execute("SELECT 1 AS a, NULL AS b").to_table_string()
     assert text.splitlines()[0].split(" | ") == ["a", "b   "] and "NULL" in text and text.endswith("(1 row)")
