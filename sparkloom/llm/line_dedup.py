@@ -35,9 +35,11 @@ from sparkloom.llm.scratch import Scratch
 #: Differing bits for which the blocks miss nothing, and blocks that the 63 bits are cut into.
 DISTANCE, BLOCKS = 3, 5
 #: Words of a segment at least, and bits in which lines that meet may differ.
-SEGMENT, FAR = 3, 16
+SEGMENT, FAR = 5, 13
 #: The least edit similarity: 1 - distance / the longer length.
 SIMILARITY = 0.9
+#: Edits that are looked for before all that may be.
+TRIES = (12, 60)
 #: Shorter normalised lines are never removed; empty ones never are.
 MIN_CHARS = 1
 #: Words that are summed in 3-bit lanes, and in 9-bit lanes.
@@ -134,6 +136,12 @@ def edits(length: Column, similarity: float) -> Column:
     return F.floor(length * F.lit(round(1 - similarity, 6)) + F.lit(1e-9)).cast("int")
 
 
+def within(x: str, y: str, most: str) -> Column:
+    """Whether two lines are ``most`` edits apart at most. Few edits are tried first, as time follows how many are looked for."""
+    tries = "".join(f" when {most} > {n} and levenshtein({x}, {y}, {n}) >= 0 then true" for n in TRIES)
+    return F.expr(f"case{tries} else levenshtein({x}, {y}, {most}) >= 0 end")
+
+
 def described(texts: DataFrame, text: str) -> DataFrame:
     """The other columns of texts, and for each line that is not blank _at, _sha, _len, _bits and _s0 to _s7, the segment keys."""
     others = [c for c in texts.columns if c != text]
@@ -193,7 +201,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
     # written, as a filter on what is left would be pushed below the steps that make it
     left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
-    links = scratch.put(left.where("levenshtein(_x, _y, _most) >= 0").select("a", "b"), "links")
+    links = scratch.put(left.where(within("_x", "_y", "_most")).select("a", "b"), "links")
     groups = components(links, scratch, "groups")
 
     # buckets whose lines are in several groups yet
@@ -204,7 +212,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     if not open_lines.isEmpty():
         one = open_lines.select("_key", *[F.col(c).alias(f"a{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
         two = open_lines.select("_key", *[F.col(c).alias(f"b{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
-        alike = F.expr(f"levenshtein(a_line, b_line, cast(floor(greatest(a_len, b_len) * {round(1 - similarity, 6)}D + 1e-9D) as int)) >= 0")
+        alike = within("a_line", "b_line", f"cast(floor(greatest(a_len, b_len) * {round(1 - similarity, 6)}D + 1e-9D) as int)")
         same = (one["_key"] == two["_key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_group") != F.col("b_group")) & near("a", "b") & alike
         more = one.hint("merge").join(two.hint("merge"), same).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
         more = scratch.put(more, "more")

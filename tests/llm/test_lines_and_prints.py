@@ -95,10 +95,10 @@ def test_families_that_share_buckets(make, spark):
 def test_one_word_set_in_many_orders(make, spark):
     """Lines with equal SimHashes and few similar pairs."""
     rng = random.Random(8)
-    names = [f"n{rng.randrange(10**6)}" for _ in range(9)]
+    names = [f"n{rng.randrange(10**6)}" for _ in range(11)]
     lines = []
     for _ in range(40):
-        own = rng.sample(names, 9)
+        own = rng.sample(names, 11)
         lines += [" ".join(own), " ".join([*own[:-1], own[-1] + "s"])]
     lines = sorted(set(lines))
     links, groups = _groups_by_force(spark, lines)
