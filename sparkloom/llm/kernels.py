@@ -139,6 +139,36 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def same_bytes(data: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether each run [a, a_end) has the bytes of the run [b, b_end), by stretches of some CHUNK bytes."""
+    same = a_end - a == b_end - b
+    ask = np.flatnonzero(same & (a != b))
+    total = np.cumsum(a_end[ask] - a[ask])
+    first = 0
+    while first < len(ask):
+        last = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + CHUNK, "right")))
+        mine = ask[first:last]
+        left, off = gather(data, a[mine], a_end[mine])
+        right, _ = gather(data, b[mine], b_end[mine])
+        wrong = np.concatenate([[0], np.cumsum(left != right)])
+        same[mine] = wrong[off[1:]] == wrong[off[:-1]]
+        first = last
+    return same
+
+
+def exact_ranks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each word, equal for equal words only: hashes tell words apart, and bytes confirm."""
+    _, lead, rank = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if not len(rank):
+        return rank
+    other = np.flatnonzero(~same_bytes(data, starts, ends, starts[lead[rank]], ends[lead[rank]]))
+    if len(other):  # words of one hash: all but the first one's kind
+        more: dict[bytes, int] = {}
+        for i in other:
+            rank[i] = len(lead) + more.setdefault(data[starts[i] : ends[i]].tobytes(), len(more))
+    return rank
+
+
 def slide(values: np.ndarray, width: int, best) -> np.ndarray:
     """best (np.minimum or np.maximum) over each ``width`` neighbours, by doubling."""
     out, have = values, 1

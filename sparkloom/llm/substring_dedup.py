@@ -2,13 +2,16 @@
 
 A word is removed if a window of ``size`` words that covers it also starts in
 a document with a smaller key. ``repeats`` leaves the suffixes whose anchor
-other texts have too. Every suffix belongs to the subtree of its prefix, which
-reaches through its anchor gram, so prefixes are of variable length and chosen
-by content; where very many texts have an anchor, the prefix is the whole
-window. Subtrees are dealt out to tasks, those whose prefixes end in the same
-gram together, so that neighbouring suffixes stay together. There sorted
-suffixes make up their paths: a run of equal paths is an internal node
-``size`` words deep, and its leaves in later documents are repeats.
+other texts have too. Suffixes are split into groups by a prefix of variable
+length: the one that reaches through the anchor gram, wherever in the window
+that stands, or the whole window where more than ``HOT_TEXTS`` texts have the
+anchor. So a group fits a task's memory, and equal windows are in one group.
+
+A task takes groups of some ``HELD`` bytes at once and grows their subtrees
+from the root down: the nodes of depth 1 are equal words, and a node of depth
+2d is a pair of nodes of depth d, of suffixes that stand d words apart. Leaves
+that are alone at a depth leave. The internal nodes ``size`` words deep that
+are left are the repeats; of each, the leaves in the first document stay.
 """
 
 from __future__ import annotations
@@ -29,26 +32,17 @@ SIZE = 50
 GRAM = 20
 #: Texts with the same anchor, beyond which a suffix's prefix is its whole window.
 HOT_TEXTS = 20_000
-#: Leaves whose repeats a task gathers before it sends them on.
-GATHERED = 1_000_000
+#: Bytes of word runs whose subtrees a task grows at once (about; one group's at least).
+HELD = 2 << 20
 
-_LEAVES = "key long, prefix long, path long, doc long, name long, at long, stop long"
+_RUNS = "key long, doc long, name long, at long, stop long, hot boolean, bytes binary"
+_SPANS = ["doc", "name", "start", "stop"]
 
 
-def _anchor_ends(w: R.Windows, k: int) -> np.ndarray:
-    """Behind the first of each window's grams that is its anchor."""
-    grams = K.signed(w.rolling.every(k))
-    values, rank = np.unique(grams, return_inverse=True)
-    n = len(grams)
-    places = np.sort(rank.astype(np.int64) * n + np.arange(n))
-    asked = np.searchsorted(values, w.anchor).astype(np.int64) * n + w.start
-    return places[np.searchsorted(places, asked)] % n + k
+def _word_runs(texts: DataFrame, size: int, k: int) -> DataFrame:
+    """Runs of neighbouring suffixes of one group, with their words, and, with ``stop``, runs known to be repeated.
 
-
-def _leaves(texts: DataFrame, size: int, k: int) -> DataFrame:
-    """Leaves (key, prefix, path, doc, name, at), and, with ``stop``, word runs known to be repeated.
-
-    Of equal paths in a chunk, the first document's leaves are sent on; the others repeat them.
+    Of runs with equal words in a chunk, the first document's are sent on; the others repeat them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,69 +53,142 @@ def _leaves(texts: DataFrame, size: int, k: int) -> DataFrame:
                 w = R.Windows(part, cut, R.longs(batch.column(3).slice(lo, hi - lo)), R.longs(batch.column(4).slice(lo, hi - lo)), R.word_symbols, size, k)
                 if not len(w.start):
                     continue
-                path = K.signed(w.rolling.runs(w.start, w.start + size))
-                prefix = np.where(w.hot, path, K.signed(w.rolling.runs(w.start, _anchor_ends(w, k))))
-                key = np.where(w.hot, path, w.anchor)
-                owner, at = doc[lo + w.row], w.start - w.first[w.row]
-                order = np.lexsort((owner, path, prefix))
-                same = np.zeros(len(order), bool)
-                same[1:] = (path[order][1:] == path[order][:-1]) & (prefix[order][1:] == prefix[order][:-1])
-                lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-                later = np.empty(len(order), bool)
-                later[order] = owner[order] > owner[order][lead]
+                word, word_end, _ = K.words(part, cut)
+                new = np.ones(len(w.start), bool)
+                new[1:] = (w.start[1:] != w.start[:-1] + 1) | (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1]) | w.hot[1:] | w.hot[:-1]
+                first = np.flatnonzero(new)
+                start, end = w.start[first], w.start[np.append(first[1:], len(new)) - 1] + size
+                row, hot = w.row[first], w.hot[first]
+                whole = w.rolling.runs(start, end)
+                key = np.where(hot, K.signed(whole), w.anchor[first])
+                owner, at = doc[lo + row], start - w.first[row]
+                later = _later(part, word, word_end, start, end, whole, owner)
                 sent, known = np.flatnonzero(~later), np.flatnonzero(later)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (key[sent], prefix[sent], path[sent], owner[sent], name[lo + w.row[sent]], at[sent])), pa.nulls(len(sent), pa.int64())], _LEAVES.replace(" long", "").split(", "))
+                raw, raw_off = K.gather(part, word[start[sent]], word_end[end[sent] - 1])
+                n = len(sent)
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key[sent], owner[sent], name[lo + row[sent]], at[sent])), pa.nulls(n, pa.int64()), pa.array(hot[sent]), K.binary(raw, raw_off)], [x.split()[0] for x in _RUNS.split(", ")])
                 if len(known):
-                    row, start, stop = R.runs_of(w.row[known], at[known], size)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, (name[lo + row], name[lo + row], name[lo + row], doc[lo + row], name[lo + row], start, stop))], _LEAVES.replace(" long", "").split(", "))
-
-    return texts.mapInArrow(run, _LEAVES)
-
-
-def _repeated(leaves: DataFrame, size: int) -> DataFrame:
-    """(doc, name, start, stop) of repeated words; streams over partitions that are sorted by key and path."""
-    names = ["doc", "name", "start", "stop"]
-
-    def sent(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        doc, name, at = (np.concatenate(x) for x in zip(*held, strict=True))
+                    at_row, begin, stop = _merged(row[known], at[known], at[known] + (end - start)[known])
+                    of = name[lo + at_row]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (of, doc[lo + at_row], of, begin, stop)), pa.nulls(len(of), pa.bool_()), pa.nulls(len(of), pa.binary())], [x.split()[0] for x in _RUNS.split(", ")])
+
+    return texts.mapInArrow(run, _RUNS)
+
+
+def _later(data: np.ndarray, word: np.ndarray, word_end: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Runs whose words an earlier document's run here has, too; hashes propose, words confirm."""
+    size = end - start
+    order = np.lexsort((owner, size, whole))
+    same = np.zeros(len(order), bool)
+    same[1:] = (whole[order][1:] == whole[order][:-1]) & (size[order][1:] == size[order][:-1])
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    ask = owner[order] > owner[lead]
+    mine, first = order[ask], lead[ask]
+    off = np.concatenate([[0], np.cumsum(size[mine])]).astype(np.int64)
+    step = np.arange(off[-1]) - np.repeat(off[:-1], size[mine])
+    a, b = np.repeat(start[mine], size[mine]) + step, np.repeat(start[first], size[mine]) + step
+    wrong = np.concatenate([[0], np.cumsum(~K.same_bytes(data, word[a], word_end[a], word[b], word_end[b]))])
+    out = np.zeros(len(order), bool)
+    out[mine[wrong[off[1:]] == wrong[off[:-1]]]] = True
+    return out
+
+
+def _merged(row: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching runs of each row as one."""
+    order = np.lexsort((at, row))
+    row, at, stop = row[order], at[order], stop[order]
+    # behind what the row's runs before reach: rows apart by more than any place
+    wide = int(stop.max()) + 1
+    reach = np.maximum.accumulate(row * wide + stop)
+    new = np.ones(len(row), bool)
+    new[1:] = row[1:] * wide + at[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    return row[first], at[first], np.maximum.reduceat(stop, first)
+
+
+def deep_nodes(symbols: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix, node): suffixes of each sequence, by their place in ``symbols``, and the internal node ``depth`` deep that each is below.
+
+    Grown by doubling; a suffix whose node has no other leaf is dropped on the way. Nodes are in the order of their paths.
+    """
+    n = len(symbols)
+    at = np.arange(n)
+    room = first[1:][K.row_of(first, n)] - at if n else at
+    have = 1
+    node = np.full(n + 1, -1, np.int64)  # of every suffix that is left, by its place; -1: alone or too short
+    _, node[:n] = np.unique(symbols, return_inverse=True)
+    node[:n][room < 1] = -1
+    while have < depth:
+        step = min(have, depth - have)
+        left = at[(room >= have + step) & (node[:n] >= 0)]
+        left = left[node[left + step] >= 0]
+        width = int(node.max(initial=0)) + 1
+        _, rank, count = np.unique(node[left] * width + node[left + step], return_inverse=True, return_counts=True)
+        node[:] = -1
+        shared = count[rank] > 1
+        node[left[shared]] = rank[shared]
+        have += step
+    found = np.flatnonzero(node[:n] >= 0)
+    return found, node[found]
+
+
+def _repeated(runs: DataFrame, size: int) -> DataFrame:
+    """(doc, name, start, stop) of repeated words; streams over partitions that are sorted by key and document."""
+
+    def resolve(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        doc, name, at = (table.column(x).to_numpy() for x in ("doc", "name", "at"))
+        data, off = K.utf8(table.column("bytes"))
+        word, word_end, first = K.words(data, off)
+        place, node = deep_nodes(K.exact_ranks(data, word, word_end), first, size)
+        run = np.searchsorted(first, place, "right") - 1
+        order = np.lexsort((doc[run], node))
+        place, node, run = place[order], node[order], run[order]
+        new = np.ones(len(node), bool)
+        new[1:] = node[1:] != node[:-1]
+        least = doc[run][np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))] if len(node) else node
+        gone = doc[run] > least
+        run, place = run[gone], at[run[gone]] + place[gone] - first[run[gone]]
         # runs of one text: texts are told apart by (doc, name)
-        order = np.lexsort((at, name, doc))
-        doc, name, at = doc[order], name[order], at[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (name[1:] != name[:-1]) | (at[1:] > at[:-1] + size)
-        first = np.flatnonzero(new)
-        stop = at[np.append(first[1:], len(doc)) - 1] + size
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[first], name[first], at[first], stop)], names)
+        owner, other = doc[run], name[run]
+        order = np.lexsort((place, other, owner))
+        owner, other, place = owner[order], other[order], place[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (other[1:] != other[:-1]) | (place[1:] > place[:-1] + size)
+        begin = np.flatnonzero(new)
+        stop = place[np.append(begin[1:], len(owner)) - 1] + size if len(owner) else place
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (owner[begin], other[begin], place[begin], stop)], _SPANS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, weight, node = [], 0, (0, 0, np.iinfo(np.int64).max)
+        held, weight, key = [], 0, None
         for batch in batches:
-            known = batch.column(6).is_valid()
+            known = batch.column(4).is_valid()
             if known.true_count:
                 done = batch.filter(known)
-                yield pa.RecordBatch.from_arrays([done.column(i) for i in (3, 4, 5, 6)], names)
-                batch = batch.filter(batch.column(6).is_null())
+                yield pa.RecordBatch.from_arrays([done.column(i) for i in (1, 2, 3, 4)], _SPANS)
+                batch = batch.filter(batch.column(4).is_null())
             if not batch.num_rows:
                 continue
-            prefix, path, doc, name, at = (batch.column(i).to_numpy() for i in range(1, 6))
-            new = np.ones(len(path), bool)
-            new[1:] = (path[1:] != path[:-1]) | (prefix[1:] != prefix[:-1])
-            lead = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            least = doc[lead]
-            if (prefix[0], path[0]) == node[:2]:  # a node that began in an earlier batch
-                least[lead == 0] = node[2]
-            node = (prefix[-1], path[-1], least[-1])
-            gone = doc > least
-            if gone.any():
-                held.append((doc[gone], name[gone], at[gone]))
-                weight += int(gone.sum())
-            if weight > GATHERED:
-                yield sent(held)
-                held, weight = [], 0
+            keys = batch.column(0).to_numpy()
+            if weight > HELD:
+                change = np.flatnonzero(keys != key)
+                if len(change):  # close what is held where the key changes
+                    at = int(change[0])
+                    held.append(batch.slice(0, at))
+                    yield resolve(held)
+                    batch, held, weight = batch.slice(at), [], 0
+                elif held[-1].column(5)[-1].as_py():  # windows that are all equal: their first document's goes on
+                    yield resolve(held)
+                    every = pa.Table.from_batches(held)
+                    at = int(np.flatnonzero(every.column(0).to_numpy() == key)[0])
+                    held, weight = every.slice(at, 1).combine_chunks().to_batches(), 0
+            held.append(batch)
+            weight += batch.nbytes
+            key = keys[-1]
         if held:
-            yield sent(held)
+            yield resolve(held)
 
-    return leaves.repartition("key").sortWithinPartitions("key", "prefix", "path", "doc").mapInArrow(run, "doc long, name long, start long, stop long")
+    return runs.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(run, "doc long, name long, start long, stop long")
 
 
 def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, gram: int = GRAM, hot_texts: int = HOT_TEXTS) -> DataFrame:
@@ -137,7 +204,7 @@ def repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     plain = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).where("doc is not null")
     unit = scratch.put(R.units(plain), "units")
     texts = R.suspects(plain, unit, R.word_symbols, size, gram, hot_texts, scratch)
-    spans = scratch.put(_repeated(_leaves(texts, size, gram), size), "runs")
+    spans = scratch.put(_repeated(_word_runs(texts, size, gram), size), "runs")
     scratch.drop("anchors")
     rows = R.decided(docs, key, text, unit, spans, scratch)
     schema = rows.select("key", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:bigint,stop:bigint>>").alias("spans"), F.lit("").alias("kept")).schema

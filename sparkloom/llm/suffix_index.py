@@ -59,14 +59,19 @@ class Levels:
         return out
 
     def _merge(self) -> None:
-        """Merges the two smallest levels; the older one's documents come first."""
+        """Merges the two smallest levels by their order; of a suffix in both, the earlier document counts."""
         (a, b), (c, d) = self.arrays.pop(), self.arrays.pop()
-        both, owner = np.concatenate([c, a]), np.concatenate([d, b])
-        keys, first = np.unique(both, return_index=True)
-        at = np.searchsorted(keys, a)
-        least = owner[first]
-        least[at] = np.minimum(least[at], b)
-        self.arrays.append((keys, least))
+        at = np.searchsorted(c, a)
+        inside = np.minimum(at, len(c) - 1)
+        both = c[inside] == a
+        d[inside[both]] = np.minimum(d[inside[both]], b[both])
+        a, b, at = a[~both], b[~both], at[~both]
+        keys, owner = np.empty(len(a) + len(c), c.dtype), np.empty(len(a) + len(c), d.dtype)
+        new = at + np.arange(len(a))
+        old = np.ones(len(keys), bool)
+        old[new] = False
+        keys[new], owner[new], keys[old], owner[old] = a, b, c, d
+        self.arrays.append((keys, owner))
 
 
 def first_owners(data: np.ndarray, off: np.ndarray, docs: np.ndarray, size: int, batch: int = BATCH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,6 +129,8 @@ def _suffix_runs(texts: DataFrame, size: int, k: int) -> DataFrame:
                 lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
                 later = np.empty(len(order), bool)
                 later[order] = owner[order] > owner[order][lead]
+                ask, first_of = order[later[order]], order[lead][later[order]]
+                later[ask] = K.same_bytes(part, start[ask], end[ask], start[first_of], end[first_of])  # hashes propose, bytes confirm
                 sent, known = np.flatnonzero(~later), np.flatnonzero(later)
                 raw, raw_off = K.gather(part, start[sent], end[sent])
                 yield _rows(key[sent], owner[sent], name[lo + row[sent]], at[sent], None, K.binary(raw, raw_off))

@@ -86,16 +86,19 @@ def test_levels_merge_geometrically():
         assert all(a >= 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
-@pytest.mark.parametrize(("size", "hot"), [(50, 20_000), (50, 2), (25, 20_000)])
-def test_repeated_words(make, size, hot):
-    rows = corpus(4)
-    got = substring_dedup.repeated_words(make(rows), size=size, gram=20 if size == 50 else 10, hot_texts=hot).collect()
+def check_words(rows, got, size):
     split = [(k, tuple(brute.WORD.findall(t or ""))) for k, t in rows]
     want = brute.covered(split, size)
     expected = sorted((k if k is not None else -1, len(s), len(w), " ".join(x for i, x in enumerate(s) if i not in w)) for (k, s), w in zip(split, want, strict=True))
     assert sorted((r[0] if r[0] is not None else -1, r["n_words"], sum(s["stop"] - s["start"] for s in r["spans"]), r["kept"]) for r in got) == expected
 
 
+@pytest.mark.parametrize(("size", "hot"), [(50, 20_000), (50, 2), (25, 20_000)])
+def test_repeated_words(make, size, hot):
+    rows = corpus(4)
+    check_words(rows, substring_dedup.repeated_words(make(rows), size=size, gram=20 if size == 50 else 10, hot_texts=hot).collect(), size)
+
+
 def test_repeats_of_nothing_and_one_key(make):
     assert suffix_index.repeated_bytes(make([])).count() == 0
     assert substring_dedup.repeated_words(make([])).count() == 0
@@ -121,3 +124,57 @@ def test_similar_sets_share_a_fragment(num, den):
         if len(y) and both * den >= num * (len(x) + len(y) - both):
             mark, row = jaccard_join.signatures(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)]), num, den)
             assert len(np.intersect1d(mark[row == 0], mark[row == 1]))
+
+
+def test_deep_nodes_by_force():
+    import numpy as np
+
+    rng = random.Random(31)
+    for depth in (1, 2, 3, 5, 8, 50):
+        sequences = [[rng.randrange(3) for _ in range(rng.randrange(0, 70))] for _ in range(12)]
+        sequences += [sequences[0], sequences[1][3:], [7] * 60]
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sequences])])
+        place, node = substring_dedup.deep_nodes(np.array([y for x in sequences for y in x], np.int64), first, depth)
+        windows = {}
+        for i, x in enumerate(sequences):
+            for j in range(len(x) - depth + 1):
+                windows.setdefault(tuple(x[j : j + depth]), []).append(int(first[i]) + j)
+        want = sorted(sorted(v) for v in windows.values() if len(v) > 1)
+        got = {}
+        for p, n in zip(place.tolist(), node.tolist()):
+            got.setdefault(n, []).append(p)
+        assert sorted(sorted(v) for v in got.values()) == want
+
+
+def test_hashes_propose_and_bytes_confirm(monkeypatch):
+    """Words, and runs, of one hash are told apart by their bytes."""
+    import numpy as np
+
+    from sparkloom.llm import kernels as K
+
+    raw = np.frombuffer(b"ab cd ab ef cd abc", np.uint8)
+    starts, ends, _ = K.words(raw, np.array([0, len(raw)]))
+    monkeypatch.setattr(K, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    rank = K.exact_ranks(raw, starts, ends)
+    words_of = ["ab", "cd", "ab", "ef", "cd", "abc"]
+    assert all((rank[i] == rank[j]) == (words_of[i] == words_of[j]) for i in range(6) for j in range(6))
+    monkeypatch.setattr(K, "CHUNK", 4)
+    assert K.same_bytes(raw, starts[[0, 0, 0, 1, 0]], ends[[0, 0, 0, 1, 0]], starts[[2, 3, 5, 4, 0]], ends[[2, 3, 5, 4, 0]]).tolist() == [True, False, False, True, True]
+
+
+@pytest.mark.parametrize("held", [0, 1 << 30])
+def test_groups_closed_at_any_size(make, monkeypatch, held):
+    """Subtrees of one group at a time or of all; anchors that count as very common, with many equal windows."""
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    rng = random.Random(32)
+    passage = words(rng, 30)
+    rows = [(i, " ".join([*words(rng, 5), *passage, *words(rng, 5)])) for i in range(30)]
+    for hot in (3, 20_000):
+        check_words(rows, substring_dedup.repeated_words(make(rows), size=12, gram=5, hot_texts=hot).collect(), 12)
+
+
+def test_repeats_beside_clashing_columns(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "a", 5), (2, text, "b", None), (None, text, None, None)], "doc_id long, text string, spans string, doc int")
+    assert sorted((r["doc_id"] or 9, sum(s["stop"] - s["start"] for s in r["spans"])) for r in substring_dedup.repeated_words(docs).collect()) == [(1, 0), (2, 80), (9, 0)]
+    assert sorted((r["doc_id"] or 9, sum(s["stop"] - s["start"] for s in r["spans"])) for r in suffix_index.repeated_bytes(docs).collect()) == [(1, 0), (2, len(text)), (9, 0)]
