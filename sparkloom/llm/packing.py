@@ -35,7 +35,7 @@ from sparkloom.llm.scratch import Scratch
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of a length that are numbered in one task (about), and ranks that meet the plan together.
-NUMBERED, RANKS = 100_000, 256
+NUMBERED, RANKS = 1000, 256
 #: Bytes of text that are encoded at once; longer texts are cut where the pre-tokenizer cuts anyway.
 CHUNK = 1 << 20
 _PLAIN = np.zeros(256, bool)

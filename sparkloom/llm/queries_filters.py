@@ -17,7 +17,7 @@ def op4_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     model = quality.fit(docs.where(remainder(4) != 2), labels.where(remainder(4) != 2))
     rated = quality.rate(docs, model, keep=["doc_id"])
-    return rated.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    return rated.select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 _RULE_ROWS = ", ".join(f"('{v}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}')" for v, r in RULES)
@@ -41,4 +41,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = language_id.learn(docs.where(remainder(5) != 0))
     found = language_id.identify(docs, profiles, keep=["doc_id"])
-    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hexadecimal digits of the digest that the join compares.
 PREFIX_DIGITS = 8
+#: Keys over which rows without a host are dealt out.
+SPREAD = 4096
 
 
 def host_of(url: Column) -> Column:
@@ -77,7 +79,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("_best"))
         .select(F.col("host").alias("_h"), F.col("path").alias("_p"), "_best")
     )
+    # rows without a host, which no rule fits, are dealt out over many keys
+    spread = F.when(F.col("host") == "", 1 + F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0).cast("long"))
+    found = found.withColumn("_z", F.lit(0).cast("long"))
     return (
-        judged.join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left")
+        judged.withColumn("_spread", spread).join(found, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")) & (F.col("_spread") == F.col("_z")), "left")
         .select(*columns, "host", "path", F.col("_best.rule").alias("rule"), F.coalesce(F.col("_best.verdict"), F.lit(default)).alias("verdict"))
     )

@@ -110,3 +110,55 @@ def test_decontamination(make, spark):
         assert sorted((r["doc_id"], r["items"]) for r in got) == sorted((k, brute.contaminated(t, items)) for k, t in rows)
     assert all(not r["items"] for r in decontaminate.find(docs, bench.limit(0)).collect())
     assert decontaminate.find(make([]), bench).count() == 0
+
+
+def test_many_parts_of_a_benchmark(make, spark, monkeypatch):
+    """50 parts, one after the other, find what one does; no plan holds more than one of them."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(3000)}"
+    items = [(i, " ".join(word() for _ in range(rng.choice([6, 20, 40])))) for i in range(120)] + [(3, "twice told " * 10), (None, "x"), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, " ".join([*(word() for _ in range(30)), *rng.choice(items[:100])[1].split()[: rng.choice([5, 20, 40])], *(word() for _ in range(20))])) for i in range(40)]
+    rows += [(100, None), (100, None), (101, ""), (102, rows[0][1]), (102, rows[0][1]), (None, items[5][1])]
+    docs = make(rows)
+    size = sum(len(t) + 16 for k, t in items if k is not None and t is not None)
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    whole = decontaminate.find(docs, bench)
+    parted = decontaminate.find(docs, bench, part_bytes=size // 50)
+    assert parted._jdf.queryExecution().toString().count("MapInArrow") == 0
+    one, many = (sorted(([key(r), list(r["items"]), [tuple(x) for x in r["spans"]]] for r in d.collect())) for d in (whole, parted))
+    assert one == many
+    assert any(x[1] for x in one)
+    assert [x[1] for x in one] == [brute.contaminated(t, items) for _, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))]
+
+
+def test_repeated_tokens_take_memory_by_length():
+    """A token 5,000 times against an equal item: counted, not multiplied out; spans as the diagonals one by one give."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from sparkloom.llm import kernels as K
+
+    items = decontaminate.Items([7], ["buffalo " * 5000])
+    tracemalloc.start()
+    text = "start here " + "buffalo " * 5000 + "end"
+    got = items.spans(*decontaminate.tokens(*K.utf8(pa.array([text, "nothing of the kind", "buffalo " * 12]))))
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+    assert got == [[(7, 0, 5003)], [], []]  # two substitutions on either side at most
+
+
+def test_dense_and_single_diagonals_agree(monkeypatch):
+    import pyarrow as pa
+
+    from sparkloom.llm import kernels as K
+
+    rng = random.Random(13)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(60))) for _ in range(60)]
+    items = decontaminate.Items(list(range(20)), [" ".join(rng.choice("abc") for _ in range(rng.randrange(4, 40))) for _ in range(20)])
+    found = []
+    for dense in (-1, 10**9):
+        monkeypatch.setattr(decontaminate, "DENSE", dense)
+        found.append(items.spans(*decontaminate.tokens(*K.utf8(pa.array(texts)))))
+    assert found[0] == found[1] and any(found[0])
