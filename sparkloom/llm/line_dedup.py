@@ -85,15 +85,17 @@ def simhash(hashes: str) -> Column:
     return F.expr(f"case when size({hashes}) = 0 then 0L when size({hashes}) <= {_MANY} then {short} else {long} end")
 
 
-def segment_keys(hashes: str) -> list[Column]:
-    """Keys of the 8, 4 or 2 segments of an array column of word hashes, null for those that a line does not have.
+def segment_scale(hashes: str) -> Column:
+    """The least number on a scale of steps of a quarter that an array column has elements for; most lines with a word more or less have the same."""
+    steps = F.floor(F.log(F.greatest(F.size(hashes), F.lit(1))) / F.log(F.lit(1.25)) + F.lit(1e-9))
+    return F.floor(F.pow(F.lit(1.25), steps)).cast("int")
 
-    A segment's size follows a scale of steps of a quarter, so that most lines with a word more or less have the same.
-    """
-    n = F.size(hashes)
-    scale = F.floor(F.pow(F.lit(1.25), F.floor(F.log(F.greatest(n, F.lit(1))) / F.log(F.lit(1.25)) + F.lit(1e-9)))).cast("int")
-    parts = F.when(scale >= 8 * SEGMENT, 8).when(scale >= 4 * SEGMENT, 4).otherwise(2)
-    size = F.floor(scale / parts).cast("int")
+
+def segment_keys(hashes: str, scale: str) -> list[Column]:
+    """Keys of the 8, 4 or 2 segments of an array column of word hashes, null for those that a line does not have; their size follows ``scale``."""
+    n, top = F.size(hashes), F.col(scale)
+    parts = F.when(top >= 8 * SEGMENT, 8).when(top >= 4 * SEGMENT, 4).otherwise(2)
+    size = F.floor(top / parts).cast("int")
     out = []
     for i in range(4):
         fits = (2 * i < parts) & (size >= SEGMENT)
@@ -149,8 +151,8 @@ def described(texts: DataFrame, text: str) -> DataFrame:
     keys = [*others, "_at"]
     split = lines.select(*keys, words(F.col("_raw")).alias("_words"))
     split = split.select(*keys, F.array_join("_words", " ").alias("_line"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
-    split = split.select(*keys, F.unhex(F.substring(F.sha2("_line", 256), 1, 32)).alias("_sha"), F.length("_line").alias("_len"), "_hashes", F.array_distinct("_hashes").alias("_set"))
-    return split.select(*keys, "_sha", "_len", simhash("_set").alias("_bits"), *[k.alias(f"_s{i}") for i, k in enumerate(segment_keys("_hashes"))])
+    split = split.select(*keys, F.unhex(F.substring(F.sha2("_line", 256), 1, 32)).alias("_sha"), F.length("_line").alias("_len"), "_hashes", F.array_distinct("_hashes").alias("_set"), segment_scale("_hashes").alias("_scale"))
+    return split.select(*keys, "_sha", "_len", simhash("_set").alias("_bits"), *[k.alias(f"_s{i}") for i, k in enumerate(segment_keys("_hashes", "_scale"))])
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:

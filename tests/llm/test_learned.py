@@ -168,3 +168,16 @@ def test_quality_beside_clashing_columns(spark):
     got = quality.rate(docs, model).collect()
     assert {tuple(got[0].asDict())} == {("doc_id", "text", "row", "features", "score")}
     assert all(r["score"] == pytest.approx(quality.CUT) for r in got)
+
+
+def test_languages_beside_clashing_columns(spark):
+    """Columns named as the operator's own: lang_pred and score are replaced, all others stay; rows repeat; no rows give no rows."""
+    schema = "doc_id long, text string, lang string, row string, score string, lang_pred int, gram long"
+    rows = [(1, "kota mishe", "aa", "r", "s", 1, 2), (1, "kota mishe", "aa", "r", "s", 1, 2), (2, "grub lden", "bb", None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    learned = language_id.learn(docs)
+    got = language_id.identify(docs, learned).collect()
+    assert sorted((r["doc_id"], r["row"] or "", r["lang_pred"]) for r in got) == [(1, "r", "aa"), (1, "r", "aa"), (2, "", "bb")]
+    nothing = spark.createDataFrame([], schema)
+    assert language_id.identify(nothing, language_id.learn(nothing)).count() == 0
+    assert language_id.identify(docs, language_id.learn(nothing)).first()["lang_pred"] == "und"
