@@ -114,7 +114,9 @@ def _alike(p: str, q: str) -> Column:
 def middles(pairs: DataFrame, x: str, y: str) -> DataFrame:
     """Replaces two columns of lines by what is left without the words that they begin and end with alike; the edit distance is the same.
 
-    Each word that is left has a space before it. Columns stand step by step,
+    Each word that is left has a space before it. ``_aligned`` is the edits
+    that turn one into the other word by word, never fewer than the edit
+    distance; null if they have not as many words. Columns stand step by step,
     for an expression that is used twice would be evaluated twice.
     """
     others = [c for c in pairs.columns if c not in (x, y)]
@@ -122,8 +124,10 @@ def middles(pairs: DataFrame, x: str, y: str) -> DataFrame:
     now = now.withColumn("_n", _alike("_a", "_b"))
     now = now.select(*others, *[F.reverse(F.slice(c, F.col("_n") + 1, F.size(c) - F.col("_n"))).alias(c) for c in ("_a", "_b")])
     now = now.withColumn("_n", _alike("_a", "_b"))
-    left = [F.reverse(F.slice(c, F.col("_n") + 1, F.size(c) - F.col("_n"))) for c in ("_a", "_b")]
-    return now.select(*others, *[F.concat_ws("", F.transform(c, lambda w: F.concat(F.lit(" "), w))).alias(n) for c, n in zip(left, (x, y), strict=True)])
+    now = now.select(*others, *[F.reverse(F.slice(c, F.col("_n") + 1, F.size(c) - F.col("_n"))).alias(c) for c in ("_a", "_b")])
+    each = F.zip_with("_a", "_b", lambda u, v: F.when(u == v, 0).otherwise(F.levenshtein(u, v)))
+    aligned = F.when(F.size("_a") == F.size("_b"), F.aggregate(each, F.lit(0), lambda n, d: n + d))
+    return now.select(*others, *[F.concat_ws("", F.transform(c, lambda w: F.concat(F.lit(" "), w))).alias(n) for c, n in zip(("_a", "_b"), (x, y), strict=True)], aligned.alias("_aligned"))
 
 
 def block_keys(bits: Column) -> list[Column]:
@@ -203,7 +207,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
     # written, as a filter on what is left would be pushed below the steps that make it
     left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
-    links = scratch.put(left.where(within("_x", "_y", "_most")).select("a", "b"), "links")
+    links = scratch.put(left.where(F.coalesce(F.col("_aligned") <= F.col("_most"), F.lit(False)) | within("_x", "_y", "_most")).select("a", "b"), "links")
     groups = components(links, scratch, "groups")
 
     # buckets whose lines are in several groups yet

@@ -145,8 +145,12 @@ def test_middles_keep_the_edit_distance(spark):
         b = b[rng.randrange(2) :] or ["z"]
         pairs.append((" ".join(a), " ".join(b)))
     frame = line_dedup.middles(spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string"), "x", "y")
-    for r in frame.select("i", F.levenshtein("x", "y").alias("d")).collect():
+    bound = 0
+    for r in frame.select("i", F.levenshtein("x", "y").alias("d"), "_aligned").collect():
         assert r["d"] == brute.edit_distance(*pairs[r["i"]])
+        assert r["_aligned"] is None or r["_aligned"] >= r["d"]
+        bound += r["_aligned"] == r["d"]
+    assert bound > 50
 
 
 def test_simhash_by_hand(spark):
