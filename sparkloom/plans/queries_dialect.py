@@ -32,21 +32,21 @@ def _told(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 _NATION = "CREATE TABLE nation (id INTEGER PRIMARY KEY, name VARCHAR(25) NOT NULL, region INTEGER); INSERT INTO nation (id, name, region) SELECT n_nationkey, n_name, n_regionkey FROM in_nation"
 
 
-@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region FROM nation WHERE n_regionkey BETWEEN 1 AND 3")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, CAST(n_regionkey AS BIGINT) AS region FROM nation WHERE n_regionkey BETWEEN 1 AND 3")
 def dialect_create_insert_select(spark, sf_dir):
     db = _database(spark, sf_dir, "nation")
     db.execute_many(_NATION)
     return db.query("SELECT id, name, region FROM nation WHERE region BETWEEN 1 AND 3")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity / (l_linenumber - 2) END AS quotient, CASE WHEN l_linenumber = 3 THEN NULL ELSE ((-l_orderkey % (l_linenumber - 3)) + (l_linenumber - 3)) % (l_linenumber - 3) END AS rest, round_even(l_linenumber * 0.5, 0) AS half FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 2 THEN NULL ELSE l_quantity / (l_linenumber - 2) END AS quotient, CASE WHEN l_linenumber = 3 THEN NULL ELSE ((-l_orderkey % (l_linenumber - 3)) + (l_linenumber - 3)) % (l_linenumber - 3) END AS rest, CAST(round_even(CAST(l_linenumber AS DOUBLE) * 0.5, 0) AS DOUBLE) AS half FROM lineitem")
 def dialect_arithmetic(spark, sf_dir):
     """Division by zero is NULL, % takes the divisor's sign, ROUND is half-even."""
     db = _database(spark, sf_dir, "lineitem")
     return db.query("SELECT l_orderkey, l_linenumber, l_quantity / (l_linenumber - 2) AS quotient, -l_orderkey % (l_linenumber - 3) AS rest, ROUND(l_linenumber * 0.5) AS half FROM in_lineitem")
 
 
-@query("SELECT c_custkey, CASE WHEN c_mktsegment ILIKE 'b%' THEN 'b' WHEN c_acctbal < 0 THEN 'debt' END AS kind, upper(substr(c_name, 1, 3)) || '!' AS head, length(c_name) AS n FROM customer WHERE c_mktsegment ILIKE '%u%' OR c_acctbal < 0")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment ILIKE 'b%' THEN 'b' WHEN c_acctbal < 0 THEN 'debt' END AS kind, upper(substr(c_name, 1, 3)) || '!' AS head, CAST(length(c_name) AS INTEGER) AS n FROM customer WHERE c_mktsegment ILIKE '%u%' OR c_acctbal < 0")
 def dialect_like_case(spark, sf_dir):
     db = _database(spark, sf_dir, "customer")
     return db.query("SELECT c_custkey, CASE WHEN c_mktsegment LIKE 'b%' THEN 'b' WHEN c_acctbal < 0 THEN 'debt' END AS kind, UPPER(SUBSTR(c_name, 1, 3)) || '!' AS head, LENGTH(c_name) AS n FROM in_customer WHERE c_mktsegment LIKE '%U%' OR c_acctbal < 0")
@@ -70,7 +70,7 @@ def dialect_joins_and_subqueries(spark, sf_dir):
     return db.query("SELECT n_name, r_name, (SELECT COUNT(*) FROM in_customer WHERE c_nationkey = n_nationkey) AS customers FROM in_nation JOIN in_region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT c_nationkey FROM in_customer)")
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS name, CASE WHEN n_regionkey = 2 THEN n_regionkey + 10 ELSE n_regionkey END AS region FROM nation WHERE n_regionkey <> 4")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_regionkey = 2 THEN lower(n_name) ELSE n_name END AS name, CAST(CASE WHEN n_regionkey = 2 THEN n_regionkey + 10 ELSE n_regionkey END AS BIGINT) AS region FROM nation WHERE n_regionkey <> 4")
 def dialect_update_delete(spark, sf_dir):
     db = _database(spark, sf_dir, "nation")
     db.execute_many(_NATION + "; UPDATE nation SET name = LOWER(name), region = region + 10 WHERE region = 2; DELETE FROM nation WHERE region = 4")
@@ -140,7 +140,7 @@ def dialect_scripts(spark, sf_dir):
     return _told(spark, [(i, r.message) for i, r in enumerate(done)], "place int, message string")
 
 
-@query("SELECT n_regionkey AS region, count(*) AS n FROM nation GROUP BY 1")
+@query("SELECT CAST(n_regionkey AS BIGINT) AS region, count(*) AS n FROM nation GROUP BY 1")
 def dialect_reopened(spark, sf_dir):
     """A folder that one object closed, with a transaction open, has what was committed for the next one."""
     db = _database(spark, sf_dir, "nation")
@@ -179,7 +179,7 @@ def txn_conflict(spark, sf_dir):
     return _told(spark, [("first", done[0], n), ("second", done[1], n)], "writer string, committed boolean, n long")
 
 
-@query("SELECT n_nationkey AS id FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS id FROM nation")
 def recover_after_crash(spark, sf_dir):
     """Rows that were staged and never committed are not there for whoever opens the folder next; manifests count up."""
     db = _database(spark, sf_dir, "nation")
@@ -229,7 +229,7 @@ def raft_election(spark, sf_dir):
     return _told(spark, [(n, r.role, r.term, r.propose("b") is not None) for n, r in nodes.items()], "replica string, role string, term int, proposes boolean")
 
 
-@query("SELECT replica, n_nationkey AS command FROM nation CROSS JOIN (VALUES ('x'), ('y'), ('z')) t(replica)")
+@query("SELECT replica, CAST(n_nationkey AS BIGINT) AS command FROM nation CROSS JOIN (VALUES ('x'), ('y'), ('z')) t(replica)")
 def raft_replication(spark, sf_dir):
     """What the leader proposes is applied by every replica, in order."""
     keys = [r["n_nationkey"] for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
@@ -256,7 +256,7 @@ def vector_greater(spark, sf_dir):
     return batches.map_batches(rows, lambda b: batches.take(b.select(["c_custkey"]), batches.greater(b.column(1), 5000.0)), "c_custkey long")
 
 
-@query("SELECT n_nationkey, n_name FROM nation")
+@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
 def batch_scan_and_rows(spark, sf_dir):
     """Rows to batches of a few and back."""
     rows = [list(r) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").collect()]
