@@ -161,6 +161,54 @@ def test_quality_query_by_force(spark, tmp_path):
     assert all(r[3] == int(r[2] >= 0.7) for r in got)
 
 
+@pytest.mark.parametrize("bad_share", [0.5, 0.02])
+def test_every_labelled_row_is_fitted(make, monkeypatch, bad_share):
+    """Blocks of few rows, few pairs, a rare label: moments, weights and threshold are those of all rows, not of a sample."""
+    monkeypatch.setattr(quality, "RANKED", 50)
+    monkeypatch.setattr(quality, "LEAST_ROWS", 4)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    noisy = lambda y: " ".join(rng.choice([word().upper(), "$$", "1234"]) if rng.random() < (0.2 if y else 0.4) else word() for _ in range(rng.randint(3, 40))) + "."
+    truth = [int(rng.random() >= bad_share) for _ in range(600)]
+    texts = [noisy(y) for y in truth]
+    texts[:6], truth[:6] = ["the same. " * 3] * 6, [0, 1, 1, 0, 1, 0]  # equal texts, unlike labels
+    model = quality.fit(make(list(enumerate(texts))), make(list(enumerate(truth)), "doc_id long, quality int"), rows=40, pairs=30)
+    x, y = np.stack([_features(t) for t in texts]), np.array(truth)
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(np.maximum(x.std(0), 1e-6))
+
+    import xxhash
+
+    blocks, differences = -(-max(y.sum(), (1 - y).sum()) // 40), []
+    deal = {v: min(blocks, -(-4 * blocks // (y == v).sum())) for v in (0, 1)}
+    home = [(lambda h: h - 2**64 if h >= 2**63 else h)(xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)) for i in range(600)]
+    used = set()
+    for b in range(blocks):
+        own = [i for i in range(600) if any((home[i] + t) % blocks == b for t in range(deal[y[i]]))]
+        good, bad = [[i for i in own if y[i] == v] for v in (1, 0)]
+        if good and bad:
+            used |= set(own)
+            differences.append(quality._differences(model, x[good], x[bad], 30, 7 + b))
+    assert blocks > 5 and used == set(range(600))
+    d = np.concatenate(differences)
+    loss = lambda w: np.log1p(np.exp(-(d @ w))).sum() + 0.5 * 1e-3 * len(d) * (w @ w)
+    for i in range(len(quality.FEATURES)):
+        for step in (1e-3, -1e-3):
+            moved = model.weights.copy()
+            moved[i] += step
+            assert loss(moved) > loss(model.weights)
+    latent = model.latent(x)
+    right = lambda t: ((latent >= t) == (y == 1)).sum()
+    assert right(model.threshold) == max(right(t) for t in [*latent, latent.max() + 1])
+
+
+def test_pairs_leave_no_row_out():
+    """Rows that no random pair has get one of their own."""
+    model = quality.Ranker(np.zeros(17), np.ones(17), np.zeros(17), 0.0)
+    good, bad = np.eye(17)[:12] * 2, -np.eye(17)[12:]
+    d = quality._differences(model, good, bad, 3, 1)
+    assert ((d == 2).any(0)[:12]).all() and ((d == 1).any(0)[12:]).all()
+
+
 def test_quality_beside_clashing_columns(spark):
     """Columns named as the operator's own, and labels without rows."""
     docs = spark.createDataFrame([(1, "one two.", "r", 2.0), (2, None, None, None)], "doc_id long, text string, row string, features double")
