@@ -16,14 +16,18 @@ Pairs that meet, differ in at most ``FAR`` bits and are about as long have
 their edit similarity computed. Of every connected group of lines the first
 occurrence in the corpus stays.
 
-Every pair of a bucket counts, but not all are made: lines meet the bucket's
-first and last line, and only where a bucket's lines are not connected by then,
-those of different groups are compared with each other, inside a join that
-emits similar pairs alone.
+Every pair of a bucket counts, but not all are made. Most buckets hold two lines
+that agree on a key by chance and go at once, as their bits or lengths differ
+too much; so do lines of a larger bucket that are like no other line of it in
+bits and length. The rest meet the bucket's first and last line, and only where
+a bucket's lines are not connected by then, those of different groups are
+compared with each other, in the first bucket that they share, inside a join
+that emits similar pairs alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +44,8 @@ SEGMENT, FAR = 5, 13
 SIMILARITY = 0.9
 #: Edits that are looked for before all that may be.
 TRIES = (12, 60)
+#: Block keys that are dealt out at once; the fewer, the smaller is a shuffle.
+TURN = 5
 #: Shorter normalised lines are never removed; empty ones never are.
 MIN_CHARS = 1
 #: Words that are summed in 3-bit lanes, and in 9-bit lanes.
@@ -130,11 +136,25 @@ def middles(pairs: DataFrame, x: str, y: str) -> DataFrame:
     return now.select(*others, *[F.concat_ws("", F.transform(c, lambda w: F.concat(F.lit(" "), w))).alias(n) for c, n in zip(("_a", "_b"), (x, y), strict=True)], aligned.alias("_aligned"))
 
 
-def block_keys(bits: Column) -> list[Column]:
-    """A key for each choice of BLOCKS - DISTANCE blocks."""
+def block_masks() -> list[int]:
+    """The bits of each choice of BLOCKS - DISTANCE blocks."""
     edges = [63 * i // BLOCKS for i in range(BLOCKS + 1)]
     masks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
-    return [F.xxhash64(F.lit(100 + i), bits.bitwiseAND(F.lit(sum(chosen)))) for i, chosen in enumerate(combinations(masks, BLOCKS - DISTANCE))]
+    return [sum(chosen) for chosen in combinations(masks, BLOCKS - DISTANCE)]
+
+
+def block_keys(bits: Column) -> list[Column]:
+    """A key for each choice of BLOCKS - DISTANCE blocks."""
+    return [F.xxhash64(F.lit(100 + i), bits.bitwiseAND(F.lit(mask))) for i, mask in enumerate(block_masks())]
+
+
+def first_block(x: str, y: str) -> Column:
+    """Which block key two hashes agree on first; the number of block keys if on none."""
+    apart, masks = F.col(x).bitwiseXOR(F.col(y)), block_masks()
+    out = F.lit(len(masks))
+    for i in range(len(masks) - 1, -1, -1):
+        out = F.when(apart.bitwiseAND(F.lit(masks[i])) == 0, i).otherwise(out)
+    return out
 
 
 def edits(length: Column, similarity: float) -> Column:
@@ -178,24 +198,38 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     place = F.struct("_doc", "_name", "_at")
     distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), *[F.max(c).alias(c) for c in ("_len", "_bits", *segments)])
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
-    facts = distinct.select("_cid", "_bits", "_len")
 
     def near(p: str, q: str) -> Column:
         """What tells most pairs apart without their lines."""
         close = F.abs(F.col(f"{p}_len") - F.col(f"{q}_len")) <= edits(F.greatest(f"{p}_len", f"{q}_len"), similarity)
         return close & (F.bit_count(F.col(f"{p}_bits").bitwiseXOR(F.col(f"{q}_bits"))) <= FAR)
 
-    # buckets of two lines or more
-    met = distinct.select("_cid", F.explode(F.array_compact(F.array(*block_keys(F.col("_bits")), *segments))).alias("_key")).repartition("_key")
-    buckets = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), F.min("_cid").alias("_lo"), F.max("_cid").alias("_hi")).where("_n > 1")
-    members = scratch.put(met.join(buckets.hint("shuffle_hash"), "_key"), "members")
-    hubs = members.select(F.col("_cid").alias("x"), F.explode(F.array("_lo", "_hi")).alias("y")).where("x <> y")
-    pairs = hubs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    side = lambda p: facts.select(F.col("_cid").alias(p), F.col("_bits").alias(f"{p}_bits"), F.col("_len").alias(f"{p}_len"))
-    pairs = scratch.put(pairs.join(side("a"), "a").join(side("b"), "b").where(near("a", "b")).select("a", "b"), "pairs")
+    def sided(of: DataFrame, p: str, *more: str) -> DataFrame:
+        return of.select("_key", *[F.col(c).alias(f"{p}{c}") for c in ("_cid", "_bits", "_len", *more)])
+
+    # buckets of two lines or more; a key ends in its slot, and the bits and lengths of two lines are the least and the greatest of their bucket
+    keys = [*block_keys(F.col("_bits")), *[F.col(c) for c in segments]]
+    slots = len(keys) - len(segments)
+    turns = [range(i, min(i + TURN, slots)) for i in range(0, slots, TURN)] + [range(slots, len(keys))]
+    of_turn = []
+    for i, turn in enumerate(turns):
+        marked = F.array(*[F.shiftleft(keys[slot], 5).bitwiseOR(F.lit(slot)) for slot in turn])
+        met = distinct.select("_cid", "_bits", "_len", F.explode(marked).alias("_key")).where("_key is not null").repartition("_key")
+        ends = [f(c).alias(f"{p}{c}") for c in ("_cid", "_bits", "_len") for p, f in (("lo", F.min), ("hi", F.max))]
+        buckets = met.groupBy("_key").agg(F.count(F.lit(1)).alias("_n"), *ends).where((F.col("_n") > 2) | ((F.col("_n") == 2) & near("lo", "hi")))
+        of_turn.append(scratch.put(met.join(buckets.select("_key", "_n", F.col("lo_cid").alias("_lo"), F.col("hi_cid").alias("_hi")).hint("shuffle_hash"), "_key"), f"members-{i}"))
+    members = reduce(DataFrame.union, of_turn)
+    hubs = sided(members.where("_cid = _lo or _cid = _hi"), "h")
+    meet = (members["_key"] == hubs["_key"]) & (F.col("_cid") != F.col("h_cid")) & near("", "h")
+    pairs = members.join(hubs.hint("merge"), meet).select(F.least("_cid", "h_cid").alias("a"), F.greatest("_cid", "h_cid").alias("b"))
+    pairs = scratch.put(pairs.distinct(), "pairs")
+    # lines of larger buckets that are near another one; a semi join ends with the first that it finds
+    large, others = members.where("_n > 3").select("_key", "_cid", "_bits", "_len"), sided(members.where("_n > 3"), "o")
+    some = (large["_key"] == others["_key"]) & (F.col("_cid") != F.col("o_cid")) & near("", "o")
+    close = scratch.put(large.join(others.hint("merge"), some, "left_semi"), "close")
 
     # the lines that are compared
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_cid")).union(members.where("_n > 3").select("_cid")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("_cid")).union(close.select("_cid")).distinct()
     at = wanted.join(distinct, "_cid").select("_cid", "_first._doc", "_first._name", "_first._at")
     at = at.groupBy("_doc", "_name").agg(F.collect_list(F.struct("_at", "_cid")).alias("_wanted"))
     holders = texts.join(at.hint("shuffle_hash"), ["_doc", "_name"])
@@ -211,15 +245,15 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     groups = components(links, scratch, "groups")
 
     # buckets whose lines are in several groups yet
-    grouped = members.where("_n > 3").select("_key", "_cid").join(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
+    grouped = close.join(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
     grouped = scratch.put(grouped, "grouped")
     apart = grouped.groupBy("_key").agg(F.min("_group").alias("_a"), F.max("_group").alias("_b")).where("_a < _b").select("_key")
-    open_lines = scratch.put(grouped.join(apart, "_key").join(facts, "_cid").join(found, "_cid"), "open")
+    open_lines = scratch.put(grouped.join(apart, "_key").join(found, "_cid"), "open")
     if not open_lines.isEmpty():
-        one = open_lines.select("_key", *[F.col(c).alias(f"a{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
-        two = open_lines.select("_key", *[F.col(c).alias(f"b{c}") for c in ("_cid", "_group", "_bits", "_len", "_line")])
+        one, two = sided(open_lines, "a", "_group", "_line"), sided(open_lines, "b", "_group", "_line")
         alike = within("a_line", "b_line", f"cast(floor(greatest(a_len, b_len) * {round(1 - similarity, 6)}D + 1e-9D) as int)")
-        same = (one["_key"] == two["_key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_group") != F.col("b_group")) & near("a", "b") & alike
+        once = F.least(one["_key"].bitwiseAND(F.lit(31)), F.lit(slots)) == first_block("a_bits", "b_bits")
+        same = (one["_key"] == two["_key"]) & (F.col("a_cid") < F.col("b_cid")) & (F.col("a_group") != F.col("b_group")) & near("a", "b") & once & alike
         more = one.hint("merge").join(two.hint("merge"), same).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b")).distinct()
         more = scratch.put(more, "more")
         groups = components(links.union(more), scratch, "all-groups")
@@ -230,7 +264,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     keeper = scratch.put(of_line.join(keep, "_group").select("_sha", "_keep"), "keepers")
     gone = seen.select("_sha", "_doc", "_name", "_at").join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
     gone = scratch.put(gone, "gone")
-    scratch.drop("lines", "distinct", "members", "pairs", "compared", "middles", "links", "grouped", "open", "more", "joined", "keepers")
+    scratch.drop("lines", "distinct", *[f"members-{i}" for i in range(len(turns))], "pairs", "close", "compared", "middles", "links", "grouped", "open", "more", "joined", "keepers")
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
     joined = rows.select("_row", "_text", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")

@@ -92,6 +92,24 @@ def test_families_that_share_buckets(make, spark):
     assert _kept(make, lines) == {min(g) for g in groups}
 
 
+def test_lines_that_meet_by_chance_are_not_compared(make, monkeypatch):
+    """Keys of few bits put unlike lines into one bucket: their words are not fetched, and like ones are still found."""
+    monkeypatch.setattr(line_dedup, "DISTANCE", 4)
+    rows, put = {}, line_dedup.Scratch.put
+
+    def counted(self, df, tag):
+        out = put(self, df, tag)
+        rows[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup.Scratch, "put", counted)
+    rng = random.Random(12)
+    lines = [" ".join(f"w{rng.randrange(10**6):06}" for _ in range(12)) for _ in range(3000)]
+    lines += [x[:-1] + y for x in lines[:20] for y in "xyz"]
+    assert _kept(make, lines) == set(range(3000))
+    assert 80 <= rows["compared"] < 150
+
+
 def test_one_word_set_in_many_orders(make, spark):
     """Lines with equal SimHashes and few similar pairs."""
     rng = random.Random(8)
