@@ -42,8 +42,8 @@ DISTANCE, BLOCKS = 3, 5
 SEGMENT, FAR = 5, 13
 #: The least edit similarity: 1 - distance / the longer length.
 SIMILARITY = 0.9
-#: Edits that are looked for before all that may be.
-TRIES = (12, 60)
+#: Words that pieces of two lines are looked for ahead, and the longest text between pieces whose own edits are counted.
+AHEAD, BETWEEN = 16, 256
 #: Block keys that are dealt out at once; the fewer, the smaller is a shuffle.
 TURN = 5
 #: Shorter normalised lines are never removed; empty ones never are.
@@ -97,16 +97,22 @@ def segment_scale(hashes: str) -> Column:
     return F.floor(F.pow(F.lit(1.25), steps)).cast("int")
 
 
-def segment_keys(hashes: str, scale: str) -> list[Column]:
-    """Keys of the 8, 4 or 2 segments of an array column of word hashes, null for those that a line does not have; their size follows ``scale``."""
-    n, top = F.size(hashes), F.col(scale)
-    parts = F.when(top >= 8 * SEGMENT, 8).when(top >= 4 * SEGMENT, 4).otherwise(2)
-    size = F.floor(top / parts).cast("int")
+def segment_parts(scale: str) -> Column:
+    """How many segments a line of such a scale is cut into."""
+    return F.when(F.col(scale) >= 8 * SEGMENT, 8).when(F.col(scale) >= 4 * SEGMENT, 4).otherwise(2)
+
+
+def segment_keys(hashes: str, parts: str, size: str) -> list[Column]:
+    """Keys of the 8, 4 or 2 segments of an array column of word hashes, null for those that a line does not have.
+
+    ``parts`` and ``size`` are columns, as Java methods that compute them again
+    for each key grow past what is compiled.
+    """
     out = []
     for i in range(4):
-        fits = (2 * i < parts) & (size >= SEGMENT)
-        for side, start in ((0, size * i + 1), (1, n - size * (i + 1) + 1)):
-            out.append(F.when(fits, F.xxhash64(F.lit(2 * i + side), size, F.slice(F.col(hashes), F.greatest(start, F.lit(1)), size))))
+        fits = (2 * i < F.col(parts)) & (F.col(size) >= SEGMENT)
+        for side, start in ((0, F.col(size) * i + 1), (1, F.size(hashes) - F.col(size) * (i + 1) + 1)):
+            out.append(F.when(fits, F.xxhash64(F.lit(2 * i + side), size, F.slice(F.col(hashes), F.greatest(start, F.lit(1)), F.col(size)))))
     return out
 
 
@@ -163,9 +169,55 @@ def edits(length: Column, similarity: float) -> Column:
 
 
 def within(x: str, y: str, most: str) -> Column:
-    """Whether two lines are ``most`` edits apart at most. Few edits are tried first, as time follows how many are looked for."""
-    tries = "".join(f" when {most} > {n} and levenshtein({x}, {y}, {n}) >= 0 then true" for n in TRIES)
-    return F.expr(f"case{tries} else levenshtein({x}, {y}, {most}) >= 0 end")
+    """Whether two lines are ``most`` edits apart at most. The function's time follows the product of the lengths, for few edits as well."""
+    return F.expr(f"levenshtein({x}, {y}, {most}) >= 0")
+
+
+def piecewise(x: str, y: str, most: str) -> Column:
+    """Edits that turn one into the other of two columns of ``middles``, in time that follows their lengths; never fewer than the edit distance.
+
+    Going through the words of one line, each pair of neighbours is looked for
+    among the next ``AHEAD`` of the other; what lies between pieces so found is
+    compared by itself, or counted in full if long. Null if a line is empty;
+    past ``most`` the count ends.
+    """
+    pairs = "zip_with({0}, slice({0}, 2, size({0})), (u, v) -> concat(u, ' ', coalesce(v, '')))"
+    a, b = (f"split(substr({c}, 2), ' ')" for c in (x, y))
+
+    def cost(gap: str, other: str) -> str:
+        each = f"case when o.g = '' or o.h = '' or greatest(length(o.g), length(o.h)) > {BETWEEN} then greatest(length(o.g), length(o.h)) else levenshtein(o.g, o.h) end"
+        return f"get(transform(array(named_struct('g', {gap}, 'h', {other})), o -> {each}), 0)"
+
+    def between(start: str, n: str) -> str:
+        return f"case when {n} > 0 then concat(' ', array_join(slice(w.b, {start} + 1, {n}), ' ')) else '' end"
+
+    met = f"named_struct('at', s.at + f, 'cost', s.cost + {cost('s.gap', between('s.at', 'f - 1'))}, 'gap', '')"
+    unmet = "named_struct('at', s.at, 'cost', s.cost, 'gap', concat(s.gap, ' ', get(w.a, i)))"
+    look = f"cast(array_position(slice(w.q, s.at + 1, {AHEAD}), get(w.p, i)) as int)"
+    step = f"case when s.cost > {most} then s when s.gap = '' and get(w.q, s.at) = get(w.p, i) then named_struct('at', s.at + 1, 'cost', s.cost, 'gap', '') else get(transform(array({look}), f -> case when f = 0 then {unmet} else {met} end), 0) end"
+    walk = f"aggregate(sequence(0, size(w.p) - 1), named_struct('at', 0, 'cost', 0, 'gap', ''), (s, i) -> {step}, s -> s.cost + {cost('s.gap', between('s.at', 'size(w.b) - s.at'))})"
+    words_of = f"named_struct('a', t.a, 'b', t.b, 'p', {pairs.format('t.a')}, 'q', {pairs.format('t.b')})"
+    return F.expr(f"case when {x} <> '' and {y} <> '' then get(transform(transform(array(named_struct('a', {a}, 'b', {b})), t -> {words_of}), w -> {walk}), 0) end")
+
+
+def with_bits(lines: DataFrame, hashes: str) -> DataFrame:
+    """Lines with ``_bits``, the SimHash of an array column, in its place; the same as ``simhash``.
+
+    Up to ``_MANY`` hashes are a row for every seven, summed in lanes by a
+    hash aggregate, which Spark compiles, unlike functions of array elements.
+    """
+    others = [c for c in lines.columns if c != hashes]
+    one = lines.select(F.monotonically_increasing_id().alias("_id"), *others, hashes, F.size(hashes).alias("_n"), F.when(F.size(hashes) > _MANY, simhash(hashes)).alias("_long"))
+    sevens = F.when(F.col("_long").isNull(), F.greatest((F.col("_n") - 1) / _FEW, F.lit(0)).cast("int")).otherwise(0)
+    each = one.select("*", F.explode(F.sequence(F.lit(0), sevens)).alias("_seven"))
+    taken = [F.coalesce(F.get(hashes, F.col("_seven") * _FEW + t), F.lit(0)).alias(f"_w{t}") for t in range(_FEW)]
+    held = ["_id", *others, "_n", "_long"]
+    thin = each.select(*held, *taken).select(*held, *[sum((F.shiftrightunsigned(f"_w{t}", j).bitwiseAND(F.lit(_THIN)) for t in range(1, _FEW)), F.shiftrightunsigned("_w0", j).bitwiseAND(F.lit(_THIN))).alias(f"_g{j}") for j in range(3)])
+    sums = thin.groupBy(*held).agg(*[F.sum(F.shiftrightunsigned(f"_g{j % 3}", j // 3 * 3).bitwiseAND(F.lit(_WIDE))).alias(f"_c{j}") for j in range(9)])
+    ones = sum(1 << 9 * k for k in range(7))
+    lack = (F.lit(255) - F.floor(F.col("_n") / 2).cast("long")) * F.lit(ones)
+    bits = [F.shiftleft(F.shiftrightunsigned(F.col(f"_c{j}") + lack, 8).bitwiseAND(F.lit(ones)), j) for j in range(9)]
+    return sums.select(*others, F.coalesce("_long", reduce(Column.bitwiseOR, bits)).alias("_bits"))
 
 
 def described(texts: DataFrame, text: str) -> DataFrame:
@@ -176,7 +228,10 @@ def described(texts: DataFrame, text: str) -> DataFrame:
     split = lines.select(*keys, words(F.col("_raw")).alias("_words"))
     split = split.select(*keys, F.array_join("_words", " ").alias("_line"), F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"))
     split = split.select(*keys, F.unhex(F.substring(F.sha2("_line", 256), 1, 32)).alias("_sha"), F.length("_line").alias("_len"), "_hashes", F.array_distinct("_hashes").alias("_set"), segment_scale("_hashes").alias("_scale"))
-    return split.select(*keys, "_sha", "_len", simhash("_set").alias("_bits"), *[k.alias(f"_s{i}") for i, k in enumerate(segment_keys("_hashes", "_scale"))])
+    split = split.select("*", segment_parts("_scale").alias("_parts")).select("*", F.floor(F.col("_scale") / F.col("_parts")).cast("int").alias("_size"))
+    segments = [f"_s{i}" for i in range(8)]
+    found = with_bits(split.select(*keys, "_sha", "_len", "_set", *[k.alias(s) for k, s in zip(segment_keys("_hashes", "_parts", "_size"), segments, strict=True)]), "_set")
+    return found.select(*keys, "_sha", "_len", "_bits", *segments)
 
 
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -196,7 +251,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     segments = [f"_s{i}" for i in range(8)]
     seen = scratch.put(described(texts, "_text"), "lines").where(F.col("_len") >= min_chars)
     place = F.struct("_doc", "_name", "_at")
-    distinct = seen.groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), *[F.max(c).alias(c) for c in ("_len", "_bits", *segments)])
+    distinct = seen.repartition("_sha").groupBy("_sha").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), *[F.max(c).alias(c) for c in ("_len", "_bits", *segments)])
     distinct = scratch.put(distinct.withColumn("_cid", F.monotonically_increasing_id()), "distinct")
 
     def near(p: str, q: str) -> Column:
@@ -241,7 +296,8 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     most = edits(F.greatest(F.length("_x"), F.length("_y")), similarity)
     # written, as a filter on what is left would be pushed below the steps that make it
     left = scratch.put(middles(sides.select("a", "b", "_x", "_y", most.alias("_most")), "_x", "_y"), "middles")
-    links = scratch.put(left.where(F.coalesce(F.col("_aligned") <= F.col("_most"), F.lit(False)) | within("_x", "_y", "_most")).select("a", "b"), "links")
+    few = [F.coalesce(n <= F.col("_most"), F.lit(False)) for n in (F.col("_aligned"), piecewise("_x", "_y", "_most"))]
+    links = scratch.put(left.where(few[0] | few[1] | within("_x", "_y", "_most")).select("a", "b"), "links")
     groups = components(links, scratch, "groups")
 
     # buckets whose lines are in several groups yet
@@ -259,7 +315,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
         groups = components(links.union(more), scratch, "all-groups")
     groups = scratch.put(groups.select(F.col("node").alias("_cid"), F.col("component").alias("_group")), "joined")
 
-    of_line = distinct.select("_sha", "_cid", "_first", "_last").join(groups, "_cid", "left").withColumn("_group", F.coalesce("_group", "_cid"))
+    of_line = distinct.select("_sha", "_cid", "_first", "_last").join(groups, "_cid", "left").where("_group is not null or _first < _last").withColumn("_group", F.coalesce("_group", "_cid"))
     keep = of_line.groupBy("_group").agg(F.min("_first").alias("_keep"), F.max("_last").alias("_end")).where("_keep < _end")  # the rest occur once
     keeper = scratch.put(of_line.join(keep, "_group").select("_sha", "_keep"), "keepers")
     gone = seen.select("_sha", "_doc", "_name", "_at").join(keeper, "_sha").where(place != F.col("_keep")).groupBy("_doc", "_name").agg(F.sort_array(F.collect_set("_at")).alias("_gone"))
@@ -267,7 +323,7 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", similar
     scratch.drop("lines", "distinct", *[f"members-{i}" for i in range(len(turns))], "pairs", "close", "compared", "middles", "links", "grouped", "open", "more", "joined", "keepers")
 
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed", "removed")]
-    joined = rows.select("_row", "_text", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left")
+    joined = rows.select("_row", "_doc", "_name").join(gone.hint("shuffle_hash"), ["_doc", "_name"], "left").withColumn("_text", F.col("_row")[text])
     lines_of, out = F.split("_text", "\n"), F.coalesce("_gone", F.array().cast("array<int>"))
     member = F.map_from_arrays(out, F.transform(out, lambda _: F.lit(True)))
     rest = F.array_join(F.filter(lines_of, lambda _, i: ~F.map_contains_key(member, i)), "\n")

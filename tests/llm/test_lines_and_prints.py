@@ -171,6 +171,52 @@ def test_middles_keep_the_edit_distance(spark):
     assert bound > 50
 
 
+def test_piecewise_edits(spark):
+    """Never fewer than the edit distance; exact for words that are added, dropped or changed here and there in a long line."""
+    rng = random.Random(13)
+    pairs, sparse = [("", " a b"), (" a", ""), ("", ""), (" a", " a"), (" a b", " c d e"), (" a a a a", " a a a")], set()
+    for _ in range(120):
+        a = [rng.choice(["a", "bb", "ccc", "d"]) for _ in range(rng.randrange(1, 9))]
+        b = [rng.choice([w, w, w, "x", "bb"]) for w in a][rng.randrange(2) :] or ["z"]
+        pairs.append(tuple("".join(f" {w}" for w in words) for words in (a, b)))
+    for _ in range(20):
+        a = [f"w{rng.randrange(10**6):06}" for _ in range(60)]
+        b = list(a)
+        b[5:5], b[30:31], b[50:50] = ["yy"], [], [b[50] + "s"]
+        sparse.add(len(pairs))
+        pairs.append(tuple("".join(f" {w}" for w in words) for words in (a, b)))
+    frame = spark.createDataFrame([(i, *p, 10_000) for i, p in enumerate(pairs)], "i int, x string, y string, most int")
+    for r in frame.select("i", line_dedup.piecewise("x", "y", "most").alias("n")).collect():
+        x, y = pairs[r["i"]]
+        assert r["n"] is None if not x or not y else r["n"] >= brute.edit_distance(x, y)
+        assert r["i"] not in sparse or r["n"] == brute.edit_distance(x, y)
+
+
+def test_scattered_edits_need_no_whole_comparison(make, monkeypatch):
+    """Words added at one place and dropped or changed at others: such pairs are accepted piece by piece."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(line_dedup, "within", lambda x, y, most: F.lit(False))
+    rng = random.Random(14)
+    lines = []
+    for _ in range(10):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+        lines += [" ".join(words), " ".join([*words[:50], "more", *words[50:70], words[70] + "s", *words[71:]]), " ".join([*words[:60], *words[61:70], "more", "words", *words[70:]])]
+    assert _kept(make, lines) == set(range(0, 30, 3))
+
+
+def test_bits_summed_by_sevens(spark):
+    """The same bits as by functions of arrays, for lines that repeat in one document, too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    rows = [(i % 3, [rng.getrandbits(64) - 2**63 for _ in range(n)]) for i, n in enumerate([0, 1, 6, 7, 8, 14, 15, 100, 251, 252, 253, 700])] * 2
+    lines = spark.createDataFrame(rows, "k int, h array<long>").withColumn("want", line_dedup.simhash("h"))
+    got = line_dedup.with_bits(lines, "h")
+    assert got.columns == ["k", "want", "_bits"]
+    assert got.count() == len(rows) and got.where(F.col("want") != F.col("_bits")).isEmpty()
+
+
 def test_simhash_by_hand(spark):
     """Majority bits of distinct words: few, more than a lane counts, and more than a slice holds."""
     import xxhash
