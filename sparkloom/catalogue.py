@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sparkloom.operators.relational import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -27,11 +29,15 @@ def query(oracle: str | None = None, name: str | None = None):
     return put
 
 
-def sql_query(name: str, text: str, oracle: str | None = None, tables: tuple[str, ...] = ()) -> None:
-    """Registers a query given as SQL that Spark runs; DuckDB runs the same text unless ``oracle`` differs."""
+def sql_query(name: str, text: str, oracle: str | None = None, tables: tuple[str, ...] = (), keys: dict[str, tuple[str, ...]] | None = None) -> None:
+    """Registers a query given as SQL that Spark runs; DuckDB runs the same text unless ``oracle`` differs.
+
+    ``keys``: the columns that large tables are joined by, in the same order for each.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{t: table(spark, sf_dir, t) for t in tables}) if tables else spark.sql(text)
+        inputs = {t: table(spark, sf_dir, t) for t in tables}
+        return spark.sql(text, **(spread(inputs, keys) if keys else inputs)) if tables else spark.sql(text)
 
     run.__name__ = name
     QUERIES[name] = run

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions.dialect import nulls_last
 
 JOINS = ("inner", "left", "right", "full", "left_semi", "left_anti")
+#: About so many rows of a table go to one task of a spread join.
+TASK_ROWS = 1 << 19
 
 
 def values_one_row(spark) -> DataFrame:
@@ -61,6 +63,20 @@ def joined(left: DataFrame, right: DataFrame, condition: Column | list[str] | No
     return left.join(right, condition, how)
 
 
+def spread(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) -> dict[str, DataFrame]:
+    """Tables that are joined by their keys, dealt out by them to as many tasks as the rows of the largest need.
+
+    Left alone, the number of tasks does not follow the input, and Spark broadcasts a side by the
+    size of its compressed columns, a small part of what its rows take. Small tables stay as they are.
+    """
+    rows = max(tables[t].count() for t in keys)  # Parquet footers have it
+    if rows <= TASK_ROWS:
+        return tables
+    any_table = tables[next(iter(keys))]
+    parts = max(any_table.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    return tables | {t: tables[t].repartition(parts, *by).hint("merge") for t, by in keys.items()}
+
+
 def natural_join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     shared = [c for c in left.columns if c in right.columns]
     return joined(left, right, shared or None, how)

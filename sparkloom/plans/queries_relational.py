@@ -136,7 +136,7 @@ def natural_join(spark, sf_dir):
 
 sql_query("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN {nation} b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", tables=("nation",))
 sql_query("multi_join", "SELECT r.r_name, count(*) AS n, round(sum(o.o_totalprice), 2) AS total FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey JOIN {customer} c ON c.c_nationkey = n.n_nationkey JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY r.r_name", tables=("region", "nation", "customer", "orders"))
-sql_query("composite_key_join", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber", tables=("lineitem",))
+sql_query("composite_key_join", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber", tables=("lineitem",), keys={"lineitem": ("l_orderkey", "l_linenumber")})
 sql_query("null_keys_join", "SELECT count(*) AS n FROM (SELECT NULLIF(n_regionkey, 1) AS k FROM {nation}) a JOIN (SELECT NULLIF(r_regionkey, 1) AS k FROM {region}) b ON a.k = b.k", tables=("nation", "region"))
 sql_query("outer_join_filter", "SELECT o.o_orderkey, l.l_quantity FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL AND o.o_totalprice > 1000", tables=("orders", "lineitem"))
 

@@ -109,3 +109,20 @@ def test_journal_election_replication_and_conflict():
     carry(b, [a, c])
     assert done["a"] == done["b"] == done["c"] == ["x", "kept"] and a.role == P.FOLLOWER
     assert not c.on_vote_request(P.VoteRequest(9, "z", 0, 0)).ok
+
+
+def test_tasks_of_a_large_join_follow_its_rows(spark, tmp_path):
+    from collections import Counter
+
+    from sparkloom.catalogue import QUERIES
+
+    rows = spark.range(3 * R.TASK_ROWS).selectExpr("id DIV 4 AS l_orderkey", "CAST(id % 3 AS INT) AS l_linenumber")
+    rows.union(spark.createDataFrame([(None, 1), (1, None)], rows.schema)).write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["composite_key_join"](spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).cache()
+    try:
+        assert out.groupBy("task").agg(F.sum(F.sqrt("n")).alias("rows")).agg(F.max("rows")).first()[0] < 1.2 * R.TASK_ROWS
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        # four rows to an order, of three numbers: one number twice, so four pairs of it and one of each other
+        assert Counter({r["n"]: r["count"] for r in out.groupBy("n").count().collect()}) == {1: 2 * 3 * R.TASK_ROWS // 4, 4: 3 * R.TASK_ROWS // 4}
+    finally:
+        out.unpersist()
