@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.dialect import nulls_last
@@ -89,9 +89,13 @@ def grouped(df: DataFrame, keys: list[Column | str], having: Column | None = Non
     return out if having is None else out.where(having)
 
 
+def _order(keys) -> list[Column]:
+    return [nulls_last(F.col(c) if isinstance(c, str) else c, d) for c, d in keys]
+
+
 def sorted_by(df: DataFrame, *keys: tuple[str | Column, bool]) -> DataFrame:
     """ORDER BY (column, descending) pairs, NULLs last."""
-    return df.orderBy(*[nulls_last(F.col(c) if isinstance(c, str) else c, d) for c, d in keys])
+    return df.orderBy(*_order(keys))
 
 
 def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -100,5 +104,14 @@ def page(df: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     return df if limit is None else df.limit(limit)
 
 
+def placed_page(df: DataFrame, limit: int, *keys: tuple[str | Column, bool], place: str = "place") -> DataFrame:
+    """The first rows of an order with their places in it: row_number() over the whole table, ORDER BY the same, LIMIT.
+
+    The rows that the limit keeps are the ones of the places up to it, so tasks pass on
+    their first rows and only those are numbered; the whole table in one task never is.
+    """
+    return page(sorted_by(df, *keys), limit).withColumn(place, F.row_number().over(Window.orderBy(*_order(keys))).cast("bigint"))
+
+
 def in_subquery(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
     return df.join(other.select(F.col(other_column).alias("_in")), F.col(column) == F.col("_in"), "left_semi")

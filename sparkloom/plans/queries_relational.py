@@ -159,8 +159,14 @@ def group_without_agg(spark, sf_dir):
 sql_query("having", "SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_custkey HAVING count(*) > 10 AND sum(o_totalprice) > 1000", tables=("orders",))
 sql_query("having_only_agg", "SELECT o_custkey FROM {orders} GROUP BY o_custkey HAVING max(o_totalprice) > 150000", tables=("orders",))
 
+
 # sorting and paging; ranks make the order visible
-sql_query("order_desc_nulls_last", "SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS x FROM {orders}) ORDER BY x DESC NULLS LAST, o_orderkey LIMIT 100", tables=("orders",))
+@query("SELECT o_orderkey, x, CAST(row_number() OVER (ORDER BY x DESC NULLS LAST, o_orderkey) AS BIGINT) AS place FROM (SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS x FROM orders) ORDER BY x DESC NULLS LAST, o_orderkey LIMIT 100")
+def order_desc_nulls_last(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("x"))
+    return R.placed_page(rows, 100, ("x", True), ("o_orderkey", False))
+
+
 sql_query("order_hidden_col", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25", tables=("orders",))
 
 

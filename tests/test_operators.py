@@ -126,3 +126,20 @@ def test_tasks_of_a_large_join_follow_its_rows(spark, tmp_path):
         assert Counter({r["n"]: r["count"] for r in out.groupBy("n").count().collect()}) == {1: 2 * 3 * R.TASK_ROWS // 4, 4: 3 * R.TASK_ROWS // 4}
     finally:
         out.unpersist()
+
+
+def test_places_of_a_page_are_numbered_after_the_limit(spark, tmp_path):
+    from sparkloom.catalogue import QUERIES
+
+    rows = [(k, "P" if k % 3 else "OF"[k % 2]) for k in range(1000)] + [(k, None) for k in (2000, 2001)] + [(7000, "O"), (7000, "O"), (None, "O")]
+    folder = str(tmp_path / "all")
+    spark.createDataFrame(rows, "o_orderkey bigint, o_orderstatus string").repartition(7).write.parquet(f"{folder}/orders.parquet")
+    out = QUERIES["order_desc_nulls_last"](spark, folder)
+    expected = sorted(((k, None if s == "P" else s) for k, s in rows), key=lambda r: (r[1] is None, -ord(r[1] or "A"), r[0] is None, r[0] or 0))
+    assert [tuple(r) for r in out.collect()] == [(*r, i) for i, r in enumerate(expected[:100], 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("Limit")  # the limit is below
+    few = [(None, "P"), (5, None), (3, "P"), (5, "O"), (None, "O")]
+    spark.createDataFrame(few, "o_orderkey bigint, o_orderstatus string").write.parquet(str(tmp_path / "few" / "orders.parquet"))
+    got = [tuple(r) for r in QUERIES["order_desc_nulls_last"](spark, str(tmp_path / "few")).collect()]
+    assert got == [(5, "O", 1), (None, "O", 2), (3, None, 3), (5, None, 4), (None, None, 5)]
