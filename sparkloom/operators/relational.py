@@ -64,12 +64,12 @@ def joined(left: DataFrame, right: DataFrame, condition: Column | list[str] | No
 
 
 def spread(tables: dict[str, DataFrame], keys: dict[str, tuple[str, ...]]) -> dict[str, DataFrame]:
-    """Tables that are joined by their keys, dealt out by them to as many tasks as the rows of the largest need.
+    """A query's tables, those with keys dealt out by them to as many tasks as the rows of the largest table need.
 
     Left alone, the number of tasks does not follow the input, and Spark broadcasts a side by the
     size of its compressed columns, a small part of what its rows take. Small tables stay as they are.
     """
-    rows = max(tables[t].count() for t in keys)  # Parquet footers have it
+    rows = max(t.count() for t in tables.values())  # Parquet footers have it
     if rows <= TASK_ROWS:
         return tables
     any_table = tables[next(iter(keys))]

@@ -8,6 +8,8 @@ from sparkloom.catalogue import query, sql_query, table
 from sparkloom.functions.dialect import like_ci
 from sparkloom.operators import relational as R
 
+_ORDERKEYS = {"orders": ("o_orderkey",), "lineitem": ("l_orderkey",)}
+
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_quantity), 4) AS avg_qty, round(avg(l_discount), 4) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus")
 def pricing_summary(spark, sf_dir):
@@ -102,15 +104,15 @@ sql_query("is_null", "SELECT count(*) AS n_all, count(*) FILTER (WHERE x IS NULL
 # subqueries
 sql_query("in_subquery", "SELECT c_custkey, c_name FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_totalprice > 100000)", tables=("customer", "orders"))
 sql_query("not_in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey NOT IN (SELECT o_custkey FROM {orders})", tables=("customer", "orders"))
-sql_query("exists_corr", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45)", tables=("orders", "lineitem"))
-sql_query("not_exists_corr", "SELECT o_orderkey, o_totalprice FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", tables=("orders", "lineitem"))
+sql_query("exists_corr", "SELECT o_orderkey FROM {orders} o WHERE EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 45)", tables=("orders", "lineitem"), keys={"lineitem": ("l_orderkey",)})
+sql_query("not_exists_corr", "SELECT o_orderkey, o_totalprice FROM {orders} o WHERE NOT EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_orderkey = o.o_orderkey)", tables=("orders", "lineitem"), keys={"lineitem": ("l_orderkey",)})
 sql_query("scalar_subquery", "SELECT o_orderkey, round(o_totalprice - (SELECT avg(o_totalprice) FROM {orders}), 2) AS above FROM {orders} WHERE o_totalprice > (SELECT avg(o_totalprice) FROM {orders})", tables=("orders",))
 sql_query("scalar_subquery_corr", "SELECT c_custkey, (SELECT count(*) FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS n FROM {customer} c", tables=("customer", "orders"))
 
 # joins
 _PAIR = "o.o_orderkey, l.l_linenumber, l.l_quantity FROM {orders} o %s JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey AND l.l_quantity > 10"
 for _kind in ("inner", "left", "right", "full"):
-    sql_query(f"{_kind}_join", "SELECT " + _PAIR % ("FULL OUTER" if _kind == "full" else _kind.upper()), tables=("orders", "lineitem"))
+    sql_query(f"{_kind}_join", "SELECT " + _PAIR % ("FULL OUTER" if _kind == "full" else _kind.upper()), tables=("orders", "lineitem"), keys=_ORDERKEYS)
 
 
 @query("SELECT n_name, r_name FROM nation CROSS JOIN region")
@@ -138,7 +140,7 @@ sql_query("self_join", "SELECT a.n_name AS a, b.n_name AS b FROM {nation} a JOIN
 sql_query("multi_join", "SELECT r.r_name, count(*) AS n, round(sum(o.o_totalprice), 2) AS total FROM {region} r JOIN {nation} n ON n.n_regionkey = r.r_regionkey JOIN {customer} c ON c.c_nationkey = n.n_nationkey JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY r.r_name", tables=("region", "nation", "customer", "orders"))
 sql_query("composite_key_join", "SELECT a.l_orderkey, a.l_linenumber, count(*) AS n FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber GROUP BY a.l_orderkey, a.l_linenumber", tables=("lineitem",), keys={"lineitem": ("l_orderkey", "l_linenumber")})
 sql_query("null_keys_join", "SELECT count(*) AS n FROM (SELECT NULLIF(n_regionkey, 1) AS k FROM {nation}) a JOIN (SELECT NULLIF(r_regionkey, 1) AS k FROM {region}) b ON a.k = b.k", tables=("nation", "region"))
-sql_query("outer_join_filter", "SELECT o.o_orderkey, l.l_quantity FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL AND o.o_totalprice > 1000", tables=("orders", "lineitem"))
+sql_query("outer_join_filter", "SELECT o.o_orderkey, l.l_quantity FROM {orders} o LEFT JOIN {lineitem} l ON o.o_orderkey = l.l_orderkey WHERE l.l_orderkey IS NULL AND o.o_totalprice > 1000", tables=("orders", "lineitem"), keys=_ORDERKEYS)
 
 # aggregates
 sql_query("group_agg", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS lo, max(o_orderpriority) AS hi FROM {orders} GROUP BY o_orderstatus", tables=("orders",))

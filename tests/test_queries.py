@@ -36,6 +36,15 @@ def test_query(spark, duck, name):
     assert ours == normal(theirs)
 
 
+@pytest.mark.parametrize("name", ["composite_key_join", "exists_corr", "full_join", "inner_join", "left_join", "not_exists_corr", "outer_join_filter", "right_join"])
+def test_large_joins_are_spread(spark, duck, monkeypatch, name):
+    monkeypatch.setattr("sparkloom.operators.relational.TASK_ROWS", 1000)
+    plan = QUERIES[name](spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("REPARTITION_BY_NUM") == (1 if "exists" in name else 2) and plan.count("Exchange") == 2
+    assert all(", 6), " in line for line in plan.splitlines() if "Exchange" in line)  # 6,000 rows of lineitem
+    test_query(spark, duck, name)
+
+
 def test_entry_imports_and_counts():
     import __spark_entry__ as entry
 
